@@ -82,12 +82,6 @@ def with_mark(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
     return joined.withColumn("_marked", F.coalesce(F.expr("(shiftright(_bits, cast(_p & 63 as int)) & 1L) = 1L"), F.lit(False))).drop("_p", "_word", "_bits")
 
 
-def only(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
-    """The rows whose ``col`` is in ``ids``."""
-    marked = with_mark(df, col, ids).where("_marked").drop("_marked")
-    return marked.join(ids.select(F.col(ids.columns[0]).alias(col)), col, "left_semi").select(*df.columns)
-
-
 def without(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
     """The rows whose ``col`` isn't in ``ids``, null ones included; only rows that the bitmap marks are shuffled."""
     marked = with_mark(df, col, ids)

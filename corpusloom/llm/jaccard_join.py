@@ -11,19 +11,20 @@ documents, makes passages that many documents share come last, so they open no t
 table's collisions cost time but lose no pair. Within a tile rows are sorted by size and banded: a
 band spans the sizes that can be similar to its smallest set.
 
-Links are looked for in two steps. First each row of a band against the band's head, which joins
-nearly all of a group of copies in linear time; then, in tiles that still hold two components,
+Links are looked for in two steps. First each class against the head of one of its bands, which
+joins nearly all of a group of copies in linear time; then, in tiles that still hold two components,
 all pairs of different components. There bitmap signatures of hashed shingles bound the overlap
 from above: a bit that one set has and the other lacks is an element not shared. What remains is
 intersected exactly, as sorted arrays. Tiles above BLOCK rows are cut into pairs of blocks.
 
 Cases: null and empty texts have no shingles and link with nothing, each is its own component.
-Repeated rows are one class. Null ids don't take part in links; their component is null. An empty
+Repeated rows are one class; of rows that share an id but not their text, one text is compared. Null ids don't take part in links; their component is null. An empty
 table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, in_slices, only, table
+from corpusloom.llm.common import cut, in_slices, table, with_mark
 from corpusloom.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -40,6 +41,10 @@ WORDS, PERCENT = 5, 80
 COUNTERS, COUNTER_PARTS = 1 << 21, 32
 SIGNATURE_BYTES = 256
 BLOCK = 2048
+#: For the rounding of margins in doubles; what passes is intersected exactly.
+SLACK = 1e-6
+#: Rounds of likeliest pairs at most; what they leave is for the last step.
+BEST_ROUNDS = 3
 WORD_TABLE = 500_000
 
 
@@ -184,71 +189,147 @@ def signature(s: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in in_slices(whole, 256):
-            sets = shingle_sets(_texts(b))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["id", "bits", "shingles"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([signature(s) for s in shingle_sets(_texts(b))], pa.binary())], names=[*b.schema.names, "bits"])
 
 
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in in_slices(whole, 512):
-                keep = []
-                for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                    s, t = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+            for b in in_slices(whole, 256):
+                keep, last, other = [], None, np.empty(0, np.uint64)
+                ys = b.column("y").to_pylist()
+                for s, id_b, y in zip(shingle_sets(b.column("x").to_pylist()), b.column("b").to_pylist(), ys, strict=True):
+                    if id_b != last:  # rows come in order of b
+                        last, (other,) = id_b, shingle_sets([y])
                     # 100 i >= p (s + t - i)
-                    keep.append((100 + percent) * len(np.intersect1d(s, t, assume_unique=True)) >= percent * (len(s) + len(t)))
+                    keep.append((100 + percent) * len(np.intersect1d(s, other, assume_unique=True)) >= percent * (len(s) + len(other)))
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that are similar, by exact intersection."""
-    x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long")
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, x, b), x the text of a, those that are similar, by exact intersection.
+
+    Texts are shuffled and their sets made again, as a set takes three times the room of its text.
+    """
+    y = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    return pairs.join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def _margin(n_a: np.ndarray, bits_a: np.ndarray, n_b: np.ndarray, bits_b: np.ndarray, percent: int) -> np.ndarray:
+    """How far above the similarity asked for signatures allow a pair to be, below 0 if they don't.
+
+    A bit of one set alone is an element that isn't shared.
+    """
+    shared = np.minimum(n_a - np.bitwise_count(bits_a & ~bits_b).sum(axis=1), n_b - np.bitwise_count(bits_b & ~bits_a).sum(axis=1))
+    return (100 + percent) * shared / (n_a + n_b) - percent
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SIGNATURE_BYTES // 8)
+
+
+def _filtered(percent: int):
+    """Of rows (a, n_a, bits_a, b, n_b, bits_b) the pairs that signatures allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                n = [b.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b")]
+                keep = _margin(n[0], _words(b.column("bits_a")), n[1], _words(b.column("bits_b")), percent) >= -SLACK
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
 
+def _tile_pairs(percent: int, best: bool):
+    """Rows come by tile and size; pairs of a tile's rows of different components whose signatures allow the similarity.
 
-def _bounded_pairs(percent: int):
-    """Pairs of a tile's rows of different components whose signatures allow the similarity."""
+    With ``best``, only the pair of widest margin of each of the tile's components.
+    """
 
-    def run(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("n").to_numpy(), kind="stable")
-        n, doc, label, block = (t.column(c).to_numpy()[order] for c in ("n", "doc", "label", "block"))
-        first, second = t.column("t1")[0].as_py(), t.column("t2")[0].as_py()
-        bits = np.frombuffer(b"".join(x.as_py() for x in t.column("bits")), np.uint64).reshape(len(order), -1)[order]
-        out_a, out_b = [], []
-        for i in range(len(n) - 1):
+    def pairs(cols: dict[str, np.ndarray], at: int, to: int, out: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        n, doc, label, block = (cols[c][at:to] for c in ("n", "doc", "label", "block"))
+        bits, two = cols["bits"][at:to], cols["t1"][at] != cols["t2"][at]
+        top: dict[int, tuple[float, int, int]] = {}
+        for i in range(to - at - 1):
             end = int(np.searchsorted(n, 100 * int(n[i]) // percent, side="right"))
             j = np.arange(i + 1, end)
             j = j[label[j] != label[i]]
-            if first != second:
+            if two:
                 j = j[block[j] != block[i]]
             if not len(j):
                 continue
-            shared = np.minimum(n[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(axis=1), n[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(axis=1))
-            j = j[(100 + percent) * shared >= percent * (n[i] + n[j].astype(np.int64))]
-            out_a.append(np.full(len(j), doc[i]))
-            out_b.append(doc[j])
-        a = np.concatenate(out_a) if out_a else np.empty(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.empty(0, np.int64)
-        return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64())})
+            margin = _margin(n[i], bits[i], n[j], bits[j], percent)
+            allowed = margin >= -SLACK
+            j, margin = j[allowed], margin[allowed]
+            if not len(j):
+                continue
+            if best:
+                for k in np.lexsort((-margin, label[j]))[np.unique(np.sort(label[j]), return_index=True)[1]]:
+                    pair = (float(margin[k]), int(doc[i]), int(doc[j[k]]))
+                    for own in (int(label[i]), int(label[j[k]])):
+                        if own not in top or pair > top[own]:
+                            top[own] = pair
+            else:
+                out.append((np.full(len(j), doc[i]), doc[j]))
+        for _, a, b in set(top.values()):
+            out.append((np.array([a]), np.array([b])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = {c: b.column(c).to_numpy().astype(np.int64) for c in ("key", "t1", "t2", "n", "doc", "label", "block")} | {"bits": _words(b.column("bits"))}
+            if held is not None:
+                cols = {c: np.concatenate([held[c], v]) for c, v in cols.items()}
+            new = np.flatnonzero((cols["key"][1:] != cols["key"][:-1]) | (cols["t1"][1:] != cols["t1"][:-1]) | (cols["t2"][1:] != cols["t2"][:-1])) + 1
+            edges = [0, *new.tolist()]
+            yield _found(cols, edges, pairs)
+            held = {c: v[edges[-1] :] for c, v in cols.items()}  # the last tile may go on: two blocks at most
+        if held is not None:
+            yield _found(held, [0, len(held["key"])], pairs)
 
     return run
 
 
-def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) in tiles that hold several components."""
-    labelled = members.join(labels.select(F.col("id").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
+def _found(cols: dict[str, np.ndarray], edges: list[int], pairs) -> pa.RecordBatch:  # noqa: ANN001
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for at, to in zip(edges, edges[1:], strict=False):
+        pairs(cols, at, to, out)
+    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, of: str, to: str) -> DataFrame:
+    return rows.join(labels.select(F.col("id").alias(of), F.col("label").alias(to)), of, "left").withColumn(to, F.coalesce(to, of))
+
+
+def _heads_left(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a row and the head of its band that are in different components."""
+    pairs = members.where("doc <> head").select(F.greatest("doc", "head").alias("a"), F.least("doc", "head").alias("b")).distinct()
+    apart = _labelled(_labelled(pairs, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
+    for c in ("a", "b"):
+        apart = apart.join(texts.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
+    return apart.select("a", "n_a", "bits_a", "b", "n_b", "bits_b").mapInArrow(_filtered(percent), "a long, b long")
+
+
+def _in_tiles(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, best: bool = False) -> DataFrame:
+    """Candidate pairs (a, b) in tiles that hold several components; of tiles of the same rows one is looked at."""
+    labelled = _labelled(members.select("key", "n", "doc"), labels, "doc", "label")
+    own = [F.sum(F.xxhash64("doc").bitwiseAND(F.lit((1 << 32) - 1))).alias("h1"), F.expr("bit_xor(xxhash64(doc, 1))").alias("h2")]
+    tiles = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows"), *own).where("lo < hi").groupBy("h1", "h2", "rows").agg(F.min("key").alias("key"))
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    rows = labelled.join(mixed.select("key", blocks.alias("blocks")), "key").join(sets.select(F.col("id").alias("doc"), "bits"), "doc")
+    rows = labelled.join(tiles.select("key", blocks.alias("blocks")), "key").join(texts.select(F.col("id").alias("doc"), "bits"), "doc")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = rows.select("key", F.least("block", "other").alias("t1"), F.greatest("block", "other").alias("t2"), "block", "doc", "label", "n", "bits")
-    return tiles.groupBy("key", "t1", "t2").applyInArrow(_bounded_pairs(percent), "a long, b long").distinct()
+    dealt = rows.select("key", F.least("block", "other").alias("t1"), F.greatest("block", "other").alias("t2"), "block", "doc", "label", "n", "bits")
+    ordered = dealt.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "n", "doc")
+    return ordered.mapInArrow(_tile_pairs(percent, best), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -259,15 +340,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     heads = base.join(classes.where("rep is not null").withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")), "left_semi")
     rows = heads.select(F.explode("keys").alias("key"), "n", F.col("doc_id").alias("doc"))
     members = cut(rows.repartition("key").sortWithinPartitions("key", "n", "doc").mapInArrow(_banded(percent), "key long, n int, doc long, head long"), "tiles")
-    edges = cut(members.where("doc <> head").select(F.greatest("doc", "head").alias("a"), F.least("doc", "head").alias("b")).distinct(), "pairs")
-    wanted = members.select("doc").distinct()
-    sets = cut(only(docs, "doc_id", wanted).mapInArrow(_sets, "id long, bits binary, shingles binary").dropDuplicates(["id"]), "sets")
-    links = cut(_verified(edges, sets, percent), "links")
+    # first the head that a class meets in most tiles
+    met = members.groupBy(F.col("doc").alias("doc_id"), "head", "n").count()
+    best = F.max(F.when(F.col("doc_id") != F.col("head"), F.struct("count", (-F.col("head")).alias("h"))))
+    wanted = cut(met.groupBy("doc_id").agg(best.alias("best"), F.first("n").alias("n")).select("doc_id", "n", F.coalesce(-F.col("best.h"), "doc_id").alias("head")), "heads")
+    chosen = with_mark(docs, "doc_id", wanted.select("doc_id")).where("_marked").select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id"])
+    texts = cut(chosen.select(F.col("doc_id").alias("id"), "n", "head", "text").mapInArrow(_signed, "id long, n int, head long, text string, bits binary"), "texts")
+    x = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
+    links = cut(_verified(texts.where("id <> head").select(F.col("id").alias("a"), F.col("text").alias("x"), F.col("head").alias("b")), texts, percent), "links")
     labels = components(links)
-    rest = _rest(members, labels, sets, percent).join(edges, ["a", "b"], "left_anti")
-    more = cut(_verified(rest, sets, percent), "links")
-    if more.take(1):
-        labels = components(links.unionAll(more))
+    seen = wanted.where("doc_id <> head").select(F.greatest("doc_id", "head").alias("a"), F.least("doc_id", "head").alias("b"))
+    # then its other heads, then the likeliest pair of each component of a tile for as long as that links any, then all pairs that are left
+    steps = [_heads_left, *[functools.partial(_in_tiles, best=True)] * BEST_ROUNDS, _in_tiles]
+    while steps:
+        pairs = cut(steps[0](members, labels, texts, percent).join(seen, ["a", "b"], "left_anti"), "pairs")
+        new = cut(_verified(pairs.join(x, "a"), texts, percent), "links")
+        seen = seen.unionAll(pairs)
+        if new.take(1):
+            links = links.unionAll(new)
+            labels = components(links)
+            steps = steps[1:]
+        else:
+            steps = steps[-1:] if len(steps) > 1 and steps[0] is not _heads_left else steps[1:]
     by_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     return base.select("doc_id", "n", "digest").join(by_class, "digest", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
 
