@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, in_slices, table, with_mark
+from corpusloom.llm.common import cut, in_slices, table, with_mark, without
 from corpusloom.llm.components import components
 
 WORDS, PERCENT = 5, 80
 #: Counters of the frequency table, and the parts in which they are summed.
-COUNTERS, COUNTER_PARTS = 1 << 21, 32
+COUNTERS, COUNTER_PARTS = 1 << 23, 64
 SIGNATURE_BYTES = 256
 BLOCK = 2048
 #: For the rounding of margins in doubles; what passes is intersected exactly.
@@ -70,7 +71,7 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     """Each text's distinct shingle hashes, ascending."""
     # bytes are lower-cased in A-Z alone and split at \x20 and \x09-\x0D
     parts = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-    flat = np.fromiter((h for p in parts for h in map(_hashes.__getitem__, p)), np.uint64)
+    flat = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(parts)), np.uint64, sum(map(len, parts)))
     ends = np.cumsum([len(p) for p in parts])
     with np.errstate(over="ignore"):
         rolled = np.zeros(max(0, len(flat) - words + 1), np.uint64)
@@ -80,7 +81,8 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
         out, begin = [], 0
         for end in ends:
             if end - begin >= words:
-                out.append(np.unique(rolled[begin : end - words + 1]))
+                s = np.sort(rolled[begin : end - words + 1])
+                out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
             elif end > begin:
                 one = np.uint64(end - begin)
                 for h in flat[begin:end]:
@@ -97,23 +99,21 @@ def _texts(b: pa.RecordBatch) -> list[str | None]:
 
 
 def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS, np.int64)
+    total = np.zeros(COUNTERS, np.uint32)
     for whole in batches:
         for b in in_slices(whole, 256):
-            if sets := shingle_sets(_texts(b)):
-                total += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-    yield _parts(total)
-
-
-def _parts(total: np.ndarray) -> pa.RecordBatch:
-    rows = np.minimum(total, 65535).astype("<u2").reshape(COUNTER_PARTS, -1)
-    return pa.RecordBatch.from_arrays([pa.array(range(COUNTER_PARTS), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["part", "counts"])
+            for s in shingle_sets(_texts(b)):
+                np.add.at(total, (s & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
+    # what a task met once is no passage, and most of what fills a table too small for all shingles
+    total[total == 1] = 0
+    rows = np.minimum(total, 255).astype(np.uint8).reshape(COUNTER_PARTS, -1)
+    yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_PARTS), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["part", "counts"])
 
 
 def _summed(t: pa.Table) -> pa.Table:
     total = np.zeros(COUNTERS // COUNTER_PARTS, np.int64)
     for c in t.column("counts"):
-        total += np.frombuffer(c.as_py(), "<u2")
+        total += np.frombuffer(c.as_py(), np.uint8)
     classes = np.minimum(np.ceil(np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
     return pa.table({"part": t.column("part")[:1], "classes": pa.array([classes.tobytes()], pa.binary())})
 
@@ -320,10 +320,9 @@ def _heads_left(members: DataFrame, labels: DataFrame, texts: DataFrame, percent
 
 
 def _in_tiles(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, best: bool = False) -> DataFrame:
-    """Candidate pairs (a, b) in tiles that hold several components; of tiles of the same rows one is looked at."""
+    """Candidate pairs (a, b) in tiles that hold several components."""
     labelled = _labelled(members.select("key", "n", "doc"), labels, "doc", "label")
-    own = [F.sum(F.xxhash64("doc").bitwiseAND(F.lit((1 << 32) - 1))).alias("h1"), F.expr("bit_xor(xxhash64(doc, 1))").alias("h2")]
-    tiles = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows"), *own).where("lo < hi").groupBy("h1", "h2", "rows").agg(F.min("key").alias("key"))
+    tiles = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     rows = labelled.join(tiles.select("key", blocks.alias("blocks")), "key").join(texts.select(F.col("id").alias("doc"), "bits"), "doc")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -337,13 +336,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = cut(_prefixes(docs, percent), "shingles")
     classes = cut(base.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    heads = base.join(classes.where("rep is not null").withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")), "left_semi")
+    copies = base.select("doc_id", "digest").join(classes, "digest").where("doc_id <> rep").select("doc_id").distinct()
+    heads = without(base, "doc_id", cut(copies, "copies")).where("n > 0 and doc_id is not null")
     rows = heads.select(F.explode("keys").alias("key"), "n", F.col("doc_id").alias("doc"))
-    members = cut(rows.repartition("key").sortWithinPartitions("key", "n", "doc").mapInArrow(_banded(percent), "key long, n int, doc long, head long"), "tiles")
+    met = cut(rows.repartition("key").sortWithinPartitions("key", "n", "doc").mapInArrow(_banded(percent), "key long, n int, doc long, head long"), "tiles")
+    # tiles of the same rows hold the same pairs: one stands for all, with their number
+    own = [F.sum(F.xxhash64("doc").bitwiseAND(F.lit((1 << 32) - 1))).alias("h1"), F.expr("bit_xor(xxhash64(doc, 1))").alias("h2"), F.count("*").alias("rows")]
+    tiles = met.groupBy("key").agg(*own).groupBy("h1", "h2", "rows").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
+    members = cut(met.join(tiles.select("key", "weight"), "key"), "tiles")
     # first the head that a class meets in most tiles
-    met = members.groupBy(F.col("doc").alias("doc_id"), "head", "n").count()
-    best = F.max(F.when(F.col("doc_id") != F.col("head"), F.struct("count", (-F.col("head")).alias("h"))))
-    wanted = cut(met.groupBy("doc_id").agg(best.alias("best"), F.first("n").alias("n")).select("doc_id", "n", F.coalesce(-F.col("best.h"), "doc_id").alias("head")), "heads")
+    by_head = members.groupBy(F.col("doc").alias("doc_id"), "head", "n").agg(F.sum("weight").alias("weight"))
+    best = F.max(F.when(F.col("doc_id") != F.col("head"), F.struct("weight", (-F.col("head")).alias("h"))))
+    wanted = cut(by_head.groupBy("doc_id").agg(best.alias("best"), F.first("n").alias("n")).select("doc_id", "n", F.coalesce(-F.col("best.h"), "doc_id").alias("head")), "heads")
     chosen = with_mark(docs, "doc_id", wanted.select("doc_id")).where("_marked").select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id"])
     texts = cut(chosen.select(F.col("doc_id").alias("id"), "n", "head", "text").mapInArrow(_signed, "id long, n int, head long, text string, bits binary"), "texts")
     x = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
