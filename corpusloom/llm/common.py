@@ -37,6 +37,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that one partition takes.
+PART_ROWS = 1 << 18
+
+
+def parts(rows: int, each: int = PART_ROWS) -> int:
+    """Partitions for so many rows."""
+    return max(1, -(-rows // each))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -71,7 +80,9 @@ def with_mark(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
     and broadcast: 2**20 rows at most. Rows that it rules out need no shuffle; the others go on to an exact join.
     """
     (name,) = ids.columns
-    k = min(MOST_BITS, max(10, (16 * ids.count()).bit_length()))
+    n = ids.count()
+    k = min(MOST_BITS, max(10, (16 * n).bit_length()))
+    ids = ids.coalesce(parts(n))
     mask = (1 << k) - 1
 
     def at(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut
+from corpusloom.llm.common import cut, parts
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -13,9 +13,15 @@ def _state(edges: DataFrame) -> tuple:
     return r["n"], r["h"]
 
 
+def _each(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """Rows (a, b) of the named column pairs, in the partitions of ``df``."""
+    rows = F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs])
+    return df.select(F.explode(rows).alias("_e")).select("_e.a", "_e.b").where(F.col("a") != F.col("b"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to its least neighbour or itself."""
-    both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = _each(edges, ("a", "b"), ("b", "a"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
@@ -24,20 +30,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """Each node's smaller neighbours, and the node, move to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).unionAll(least.select("a", F.col("m").alias("b")))
+    return _each(down.join(least, "a"), ("b", "m"), ("a", "m"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) of each id in edges (a, b): the least id of its component.
 
     Rounds take a number of steps that grows with the logarithm of the ids; each is written to the
-    shared folder and the next reads it. Nothing but a count and a checksum reaches the driver.
+    shared folder and the next reads it, dealt by PART_ROWS edges a partition, so few edges make few
+    tasks. Nothing but a count and a checksum reaches the driver.
     """
     edges = edges.where(F.col("a") != F.col("b"))
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
     while state[0]:
-        now = cut(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        now = cut(_small_star(_large_star(now.coalesce(parts(state[0]))).distinct()).distinct(), "edges")
         before, state = state, _state(now)
         if state == before:
             break

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, in_slices, table, with_mark, without
+from corpusloom.llm.common import cut, in_slices, parts, table, with_mark, without
 from corpusloom.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -44,8 +44,10 @@ SIGNATURE_BYTES = 256
 BLOCK = 2048
 #: For the rounding of margins in doubles; what passes is intersected exactly.
 SLACK = 1e-6
-#: Rounds of likeliest pairs at most; what they leave is for the last step.
-BEST_ROUNDS = 3
+#: Rounds of likeliest pairs at most, and the last is one in which not every MANYth pair links; what they leave is for the last step.
+BEST_ROUNDS, MANY = 3, 20
+#: Pairs of texts that one partition takes.
+PAIRS = 256
 WORD_TABLE = 500_000
 
 
@@ -192,7 +194,7 @@ def signature(s: np.ndarray) -> bytes:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in in_slices(whole, 256):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([signature(s) for s in shingle_sets(_texts(b))], pa.binary())], names=[*b.schema.names, "bits"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([signature(s) for s in shingle_sets(_texts(b))], pa.binary()), b.column("hash")], names=["id", "bits", "hash"])
 
 
 def _linked(percent: int):
@@ -211,13 +213,21 @@ def _linked(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, x, b), x the text of a, those that are similar, by exact intersection.
+def _texts_for(docs: DataFrame, ids: DataFrame, to: str) -> DataFrame:
+    """Texts of the ids (one column), as (that column, ``to``); one text an id, always the same."""
+    (name,) = ids.columns
+    marked = with_mark(docs.where("text is not null"), "doc_id", ids).where("_marked")
+    return marked.groupBy(F.col("doc_id").alias(name)).agg(F.min_by("text", F.xxhash64("text")).alias(to))
 
-    Texts are shuffled and their sets made again, as a set takes three times the room of its text.
+
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Of the written pairs (a, b) those that are similar, by exact intersection.
+
+    Only texts of the pairs are shuffled and their sets made again, as a set takes three times the room of its text.
     """
-    y = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    x, y = (_texts_for(docs, pairs.select(c), t) for c, t in (("a", "x"), ("b", "y")))
+    dealt = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").coalesce(parts(pairs.count(), PAIRS))
+    return dealt.mapInArrow(_linked(percent), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def _margin(n_a: np.ndarray, bits_a: np.ndarray, n_b: np.ndarray, bits_b: np.ndarray, percent: int) -> np.ndarray:
@@ -310,21 +320,21 @@ def _labelled(rows: DataFrame, labels: DataFrame, of: str, to: str) -> DataFrame
     return rows.join(labels.select(F.col("id").alias(of), F.col("label").alias(to)), of, "left").withColumn(to, F.coalesce(to, of))
 
 
-def _heads_left(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _heads_left(members: DataFrame, labels: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Pairs of a row and the head of its band that are in different components."""
     pairs = members.where("doc <> head").select(F.greatest("doc", "head").alias("a"), F.least("doc", "head").alias("b")).distinct()
     apart = _labelled(_labelled(pairs, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
     for c in ("a", "b"):
-        apart = apart.join(texts.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
+        apart = apart.join(bits.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
     return apart.select("a", "n_a", "bits_a", "b", "n_b", "bits_b").mapInArrow(_filtered(percent), "a long, b long")
 
 
-def _in_tiles(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, best: bool = False) -> DataFrame:
+def _in_tiles(members: DataFrame, labels: DataFrame, bits: DataFrame, percent: int, best: bool = False) -> DataFrame:
     """Candidate pairs (a, b) in tiles that hold several components."""
     labelled = _labelled(members.select("key", "n", "doc"), labels, "doc", "label")
     tiles = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    rows = labelled.join(tiles.select("key", blocks.alias("blocks")), "key").join(texts.select(F.col("id").alias("doc"), "bits"), "doc")
+    rows = labelled.join(tiles.select("key", blocks.alias("blocks")), "key").join(bits.select(F.col("id").alias("doc"), "bits"), "doc")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = rows.select("key", F.least("block", "other").alias("t1"), F.greatest("block", "other").alias("t2"), "block", "doc", "label", "n", "bits")
     ordered = dealt.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "n", "doc")
@@ -348,24 +358,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     by_head = members.groupBy(F.col("doc").alias("doc_id"), "head", "n").agg(F.sum("weight").alias("weight"))
     best = F.max(F.when(F.col("doc_id") != F.col("head"), F.struct("weight", (-F.col("head")).alias("h"))))
     wanted = cut(by_head.groupBy("doc_id").agg(best.alias("best"), F.first("n").alias("n")).select("doc_id", "n", F.coalesce(-F.col("best.h"), "doc_id").alias("head")), "heads")
-    chosen = with_mark(docs, "doc_id", wanted.select("doc_id")).where("_marked").select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id"])
-    texts = cut(chosen.select(F.col("doc_id").alias("id"), "n", "head", "text").mapInArrow(_signed, "id long, n int, head long, text string, bits binary"), "texts")
-    x = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
-    links = cut(_verified(texts.where("id <> head").select(F.col("id").alias("a"), F.col("text").alias("x"), F.col("head").alias("b")), texts, percent), "links")
+    # signatures are made where the documents lie; texts are fetched only for pairs
+    signed = with_mark(docs, "doc_id", wanted.select("doc_id")).where("_marked and text is not null").select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("hash")).mapInArrow(_signed, "id long, bits binary, hash long")
+    bits = cut(signed.groupBy("id").agg(F.min_by("bits", "hash").alias("bits")).join(wanted.select(F.col("doc_id").alias("id"), "n"), "id"), "bits")
+    seen = cut(wanted.where("doc_id <> head").select(F.greatest("doc_id", "head").alias("a"), F.least("doc_id", "head").alias("b")), "pairs")
+    links = cut(_verified(seen, docs, percent), "links")
     labels = components(links)
-    seen = wanted.where("doc_id <> head").select(F.greatest("doc_id", "head").alias("a"), F.least("doc_id", "head").alias("b"))
-    # then its other heads, then the likeliest pair of each component of a tile for as long as that links any, then all pairs that are left
+    # then its other heads, then the likeliest pair of each component of a tile for as long as that links many, then all pairs that are left
     steps = [_heads_left, *[functools.partial(_in_tiles, best=True)] * BEST_ROUNDS, _in_tiles]
     while steps:
-        pairs = cut(steps[0](members, labels, texts, percent).join(seen, ["a", "b"], "left_anti"), "pairs")
-        new = cut(_verified(pairs.join(x, "a"), texts, percent), "links")
+        pairs = cut(steps[0](members, labels, bits, percent).join(seen, ["a", "b"], "left_anti"), "pairs")
+        new = cut(_verified(pairs, docs, percent), "links")
         seen = seen.unionAll(pairs)
-        if new.take(1):
+        found = new.count()
+        if found:
             links = links.unionAll(new)
             labels = components(links)
-            steps = steps[1:]
-        else:
-            steps = steps[-1:] if len(steps) > 1 and steps[0] is not _heads_left else steps[1:]
+        few = len(steps) > 1 and steps[0] is not _heads_left and MANY * found < pairs.count()
+        steps = steps[-1:] if few else steps[1:]
     by_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     return base.select("doc_id", "n", "digest").join(by_class, "digest", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
 
