@@ -52,6 +52,19 @@ def agreement(matrix: DataFrame) -> DataFrame:
     )
 
 
+def numbered(rows: DataFrame, group: str, by: str, prefix: int = 4) -> DataFrame:
+    """``number`` from 1 in the order of the text ``by`` within each group, which may hold most rows.
+
+    A group is numbered in chunks of equal first characters; the chunks' counts give each its start.
+    """
+    chunked = rows.withColumn("_chunk", F.substring(by, 1, prefix))
+    local = chunked.withColumn("_n", F.row_number().over(Window.partitionBy(group, "_chunk").orderBy(by)))
+    counts = chunked.groupBy(group, "_chunk").agg(F.count("*").alias("_rows"))
+    earlier = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(group, "_chunk", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    return local.join(starts, [group, "_chunk"]).select(*rows.columns, (F.col("_n") + F.col("_before")).cast("int").alias("number"))
+
+
 def pairs_of(decisions: DataFrame) -> DataFrame:
     """Audited pairs: no verdict or NEEDS_REVIEW is left out."""
     return decisions.where(F.col("human_decision").isNotNull() & (F.col("status") != "NEEDS_REVIEW")).select(F.when(F.col("status") == "INCLUDED", "YES").otherwise("NO").alias("ai"), F.col("human_decision").alias("human"))

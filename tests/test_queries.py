@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from corpusloom.plans.queries import ORACLE, QUERIES
+from corpusloom.plans import ORACLE, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 
