@@ -48,43 +48,62 @@ class Codec:
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         mark = "▁"
         self.separable = not any(re.search(f"[^{mark}]{mark}|\n", p) for p in pieces) and self._marks_spaces()
-        self.table: dict[str, tuple[int, ...]] = {}
+        self.line = self.sp.encode("\n")[-1]
+        #: What ids stand for within a text; those of single bytes are decoded by the library, in their chunk.
+        self.texts = [p.replace(mark, " ") if not (self.sp.is_byte(i) or self.sp.is_control(i) or self.sp.is_unknown(i)) else "\0" for i, p in enumerate(pieces)]
+        self.texts[self.line] = "\n"
+        #: By chunk: its ids in decimal with commas, and what they decode to.
+        self.table: dict[str, tuple[str, str]] = {}
 
     def _marks_spaces(self) -> bool:
         """A space is put before a text and spaces are kept, as chunks take for granted."""
         p = self.sp.encode_as_pieces
         return "".join(p("a  b ")) == "▁a▁▁b▁" and self.sp.decode(self.sp.encode("\nx"))[:1] == "\n"
 
-    def learn(self, chunks: Iterable[str]) -> None:
-        """A chunk that begins with spaces is the text after the first; one after a line break is what follows in ``\\n`` + chunk."""
-        new = [c for c in set(chunks) if c not in self.table]
+    def learn(self, chunks: set[str]) -> None:
+        """Rows for all the chunks, which the model sees as lines of one text: no piece crosses a line break, and no chunk holds one."""
+        new = [c for c in chunks if c not in self.table]
         if len(self.table) + len(new) > TABLE_ROWS:
             self.table.clear()
-            new = list(set(chunks))
-        lone = self.sp.encode("\n")  # the marker, then the line break
-        bare = len(lone)
-        texts = [c[1:] if c[0] == " " else c if c == "\n" else "\n" + c for c in new]
-        for c, ids in zip(new, self.sp.encode(texts, num_threads=1), strict=True):
-            self.table[c] = tuple(lone[:-1] if c == " " else lone[-1:] if c == "\n" else ids if c[0] == " " else ids[bare:])
+            new = list(chunks)
+        if "\n" in new:
+            new.remove("\n")
+            self.table["\n"] = (str(self.line), "\n")
+        if not new:
+            return
+        ids = self.sp.encode("\n" + "\n".join(new))
+        texts = "".join(map(self.texts.__getitem__, ids)).split("\n")[1:]
+        lines = (",".join(map(str, ids)) + ",").split(f",{self.line},")[1:]
+        lines[-1] = lines[-1][:-1]
+        rows = dict(zip(new, zip(lines, texts, strict=True), strict=True))
+        spelt = [c for c, (_, text) in rows.items() if "\0" in text]
+        for c, text in zip(spelt, self.sp.decode([[self.line, *map(int, rows[c][0].split(","))] for c in spelt]) if spelt else [], strict=True):
+            rows[c] = (rows[c][0], text[1:])
+        self.table |= rows
+
+    def rows(self, texts: list[str]) -> Iterator[list[tuple[str, str]]]:
+        """Each text's rows of the table, by position."""
+        # the model's own marker, where a text holds it, reads as a space
+        parts = [_CHUNK.findall(" " + t.replace("▁", " ")) if t else [] for t in texts]
+        self.learn(set().union(*parts))
+        for p in parts:
+            yield list(map(self.table.__getitem__, p))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         if not self.separable:
             return self.sp.encode(texts, num_threads=1)
-        # the model's own marker, where a text holds it, reads as a space
-        parts = [_CHUNK.findall(" " + t.replace("▁", " ")) if t else [] for t in texts]
-        self.learn({c for p in parts for c in p} - self.table.keys())
-        get, out = self.table.get, []
-        for p in parts:
-            ids: list[int] = []
-            for c in p:
-                ids += get(c) or self._again(c)
-            out.append(ids)
-        return out
+        return [[int(i) for ids, _ in rows for i in ids.split(",")] for rows in self.rows(texts)]
 
-    def _again(self, chunk: str) -> tuple[int, ...]:
-        """For a chunk whose row went when the table was emptied."""
-        self.learn([chunk])
-        return self.table[chunk]
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Number of ids, the ids in decimal with commas, and what they decode to, of each text."""
+        if not self.separable:
+            for ids in self.sp.encode(texts, num_threads=1):
+                yield len(ids), ",".join(map(str, ids)), self.decode(ids)
+            return
+        for rows in self.rows(texts):
+            ids = ",".join([i for i, _ in rows])
+            # decoding leaves out the space that encoding put before the text
+            yield ids.count(",") + 1 if ids else 0, ids, "".join([t for _, t in rows])[1:]
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids) if ids else ""
@@ -129,15 +148,13 @@ def digests(docs: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(model_file)
-        text_of: dict[int, str] = {i: str(i) for i in range(made.sp.get_piece_size())}
         for whole in batches:
             for b in in_slices(whole):
-                ids = made.encode(texts_of(b))
+                of = list(made.digests(texts_of(b)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column("doc_id"), pa.array(map(len, ids), pa.int64()),
-                        pa.array([sha256(",".join(map(text_of.__getitem__, i)).encode()).hexdigest() for i in ids]),
-                        pa.array([sha256(made.decode(i).encode()).hexdigest() for i in ids]),
+                        b.column("doc_id"), pa.array([n for n, _, _ in of], pa.int64()),
+                        pa.array([sha256(ids.encode()).hexdigest() for _, ids, _ in of], pa.string()), pa.array([sha256(text.encode()).hexdigest() for _, _, text in of], pa.string()),
                     ],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
