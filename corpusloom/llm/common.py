@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,10 +62,22 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t if t is not None else "" for t in batch.column(name).to_pylist()]
 
 
-def in_slices(batch: pa.RecordBatch, rows: int = 512):
-    """Parts of a batch, so that what Python holds at once stays small."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def in_slices(batch: pa.RecordBatch, rows: int = 512, room: int | None = None, name: str = "text"):
+    """Parts of a batch, so that what Python holds at once stays small.
+
+    With ``room`` a part ends with the row whose text takes it to so many bytes.
+    """
+    if room is None:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = min(at + rows, int(np.searchsorted(ends, before + room)) + 1, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -32,6 +32,8 @@ ORDERS = 3
 MAX_LANGUAGES = 1000
 SMOOTHING = 0.5
 HELD_OUT = 2
+#: Bytes of text whose n-grams are held at once; a longer text is one part.
+ROOM = 1 << 18
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -64,7 +66,7 @@ def hashed_ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, np.ndarray] = {}
     for whole in batches:
-        for b in in_slices(whole, 256):
+        for b in in_slices(whole, 256, ROOM):
             texts, langs = texts_of(b), b.column("lang").to_pylist()
             for lang in set(langs):
                 h, _ = hashed_ngrams([t for t, own in zip(texts, langs, strict=True) if own == lang])
@@ -126,7 +128,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in in_slices(whole, 256):
+            for b in in_slices(whole, 256, ROOM):
                 got = shared.value.predict(texts_of(b))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 

@@ -32,7 +32,8 @@ from corpusloom.llm.common import cut, in_slices, table, texts_of
 
 CAPACITY = 4096
 END_ID = 1
-TABLE_ROWS = 1_000_000
+#: Words that a Python worker keeps, of some 300 bytes each.
+TABLE_ROWS = 400_000
 #: Runs that are looked up in an array sent with the tasks; more are joined.
 INLINE_RUNS = 500_000
 RANK_BUCKETS = 64
