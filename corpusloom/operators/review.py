@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.text import safe_div
 
@@ -65,6 +66,31 @@ def numbered(rows: DataFrame, group: str, by: str, prefix: int = 4) -> DataFrame
     return local.join(starts, [group, "_chunk"]).select(*rows.columns, (F.col("_n") + F.col("_before")).cast("int").alias("number"))
 
 
+def places(rows: DataFrame, *by: Column, chunks: int = 256) -> DataFrame:
+    """``place`` from 1 in the order of ``by``, nulls first, over all rows and with no task that sees them all.
+
+    A few keys drawn at random bound the chunks, whatever the keys are; the chunks' counts give each its start.
+    One task adds up those counts, at most ``chunks`` + 1 of them. The order of equal keys is open.
+    """
+    keyed = rows.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)]))
+    kind = keyed.schema["_key"].dataType
+    drawn = keyed.select("_key").orderBy(F.rand(0)).limit(8 * chunks).agg(F.sort_array(F.collect_list("_key"))).first()[0][8::8]
+    # bounds are constants, so a row's chunk is the same each time it is computed
+    bounds = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, kind, strict=True)]) for b in dict.fromkeys(drawn)]).cast(T.ArrayType(kind))
+    chunked = keyed.withColumn("_chunk", F.size(F.filter(bounds, lambda b: b <= F.col("_key"))))
+    local = chunked.withColumn("_n", F.row_number().over(Window.partitionBy("_chunk").orderBy("_key")))
+    counts = chunked.groupBy("_chunk").agg(F.count("*").alias("_rows"))
+    earlier = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_chunk", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    return local.join(F.broadcast(starts), "_chunk").select(*rows.columns, (F.col("_n") + F.col("_before")).cast("long").alias("place"))
+
+
+def quality_stats(state: DataFrame) -> DataFrame:
+    """total_audited: the audited pairs; avg_quality (2 places), n_quality: over every row with a score, audited or not."""
+    pair = F.col("human_decision").isNotNull() & (F.col("status") != "NEEDS_REVIEW")
+    return state.agg(F.count_if(pair).alias("total_audited"), F.round(F.avg("score"), 2).alias("avg_quality"), F.count("score").alias("n_quality"))
+
+
 def pairs_of(decisions: DataFrame) -> DataFrame:
     """Audited pairs: no verdict or NEEDS_REVIEW is left out."""
     return decisions.where(F.col("human_decision").isNotNull() & (F.col("status") != "NEEDS_REVIEW")).select(F.when(F.col("status") == "INCLUDED", "YES").otherwise("NO").alias("ai"), F.col("human_decision").alias("human"))

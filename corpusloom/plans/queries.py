@@ -249,6 +249,13 @@ def qa_order(spark: SparkSession, d: str) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.orderBy(F.col("id").try_cast("bigint").asc_nulls_last(), "id")).cast("long"))
 
 
+@query(f"WITH {_P} SELECT id, row_number() OVER (ORDER BY try_cast(id AS BIGINT) NULLS LAST, id) AS place FROM papers")
+def qa_order_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every paper's place; ``qa_order`` is the first page of it."""
+    number = F.col("id").try_cast("bigint")
+    return R.places(papers(spark, d).select("id"), number.isNull(), number, F.col("id"))
+
+
 @query(None)
 def page_text(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", html_text(F.col("html")).alias("text"))

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.response import parse_answer, parse_quality
 from corpusloom.operators import classifier, linking, sampling, store
+from corpusloom.operators import review as R
+from corpusloom.plans import QUERIES
 from corpusloom.streaming import screening as live
 
 
@@ -87,3 +89,22 @@ def test_windows(spark):
     t = dt.datetime(2024, 1, 1, 5)
     got = live.windowed_counts(spark.createDataFrame([(t, "a"), (t, "a"), (t + dt.timedelta(days=1), "a")], "ts timestamp, event_type string")).collect()
     assert sorted(r.n for r in got) == [1, 2]
+
+
+def test_places_cover_all_rows(spark):
+    ids = [str(i * i % 997) for i in range(400)] + [f"paper-{i:05d}" for i in range(400)] + ["-3", "x", "", None, "99999999999999999999"]
+    key = lambda v: (1, "") if v is None else (2, v)
+    number = lambda v: v is not None and v.lstrip("-").isdigit() and len(v) < 19
+    want = sorted(ids, key=lambda v: (not number(v), int(v) if number(v) else 0, key(v)))
+    n = F.col("id").try_cast("bigint")
+    df = spark.createDataFrame([(i,) for i in ids], "id string").repartition(5)
+    got = R.places(df, n.isNull(), n, F.col("id"), chunks=16).collect()
+    assert [r.id for r in sorted(got, key=lambda r: r.place)] == want and sorted(r.place for r in got) == list(range(1, len(ids) + 1))
+    assert R.places(df.limit(0), n.isNull(), n, F.col("id")).count() == 0
+
+
+def test_qa_order_all_is_whole(spark):
+    d = "/root/testdata/sf0.001"
+    whole = {r.id: r.place for r in QUERIES["qa_order_all"](spark, d).collect()}
+    assert len(whole) == spark.read.parquet(f"{d}/documents.parquet").count() > 100
+    assert all(whole[r.id] == r.place for r in QUERIES["qa_order"](spark, d).collect())
