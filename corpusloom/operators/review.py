@@ -88,7 +88,7 @@ def places(rows: DataFrame, *by: Column, chunks: int = 256) -> DataFrame:
 def quality_stats(state: DataFrame) -> DataFrame:
     """total_audited: the audited pairs; avg_quality (2 places), n_quality: over every row with a score, audited or not."""
     pair = F.col("human_decision").isNotNull() & (F.col("status") != "NEEDS_REVIEW")
-    return state.agg(F.count_if(pair).alias("total_audited"), F.round(F.avg("score"), 2).alias("avg_quality"), F.count("score").alias("n_quality"))
+    return state.agg(F.count_if(pair).alias("total_audited"), F.coalesce(F.round(F.avg("score"), 2), F.lit(0.0)).alias("avg_quality"), F.count("score").alias("n_quality"))
 
 
 def pairs_of(decisions: DataFrame) -> DataFrame:

@@ -108,3 +108,12 @@ def test_qa_order_all_is_whole(spark):
     whole = {r.id: r.place for r in QUERIES["qa_order_all"](spark, d).collect()}
     assert len(whole) == spark.read.parquet(f"{d}/documents.parquet").count() > 100
     assert all(whole[r.id] == r.place for r in QUERIES["qa_order"](spark, d).collect())
+
+
+def test_quality_is_over_all_scores(spark):
+    rows = [("INCLUDED", "YES", 1.0), ("EXCLUDED", None, 3.0), ("NEEDS_REVIEW", "NO", 4.0), ("EXCLUDED", "NO", None)]
+    df = spark.createDataFrame(rows, "status string, human_decision string, score double")
+    assert tuple(R.quality_stats(df).first()) == (2, 2.67, 3)
+    assert tuple(R.quality_stats(df.limit(0)).first()) == (0, 0.0, 0)
+    d = "/root/testdata/sf0.001"
+    assert QUERIES["audit_quality_all"](spark, d).first().n_quality == spark.read.parquet(f"{d}/labels.parquet").count() > QUERIES["audit_quality"](spark, d).first().n_quality
