@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import difflib
+import math
+import string
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAST_RATIO, CANDIDATES = 0.90, 3
+LEAST_RATIO, SALTS = 0.90, 8
+#: Characters counted by themselves; all others are counted as one.
+CLASSES = string.ascii_lowercase + string.digits + " "
 
 
 def _ratios(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -21,26 +25,39 @@ def ratio(a: str, b: str) -> Column:
     return F.pandas_udf(_ratios, "double")(a, b)
 
 
-def catalogue_abstracts(papers: DataFrame, catalogue: DataFrame, least: float = LEAST_RATIO, candidates: int = CANDIDATES) -> DataFrame:
-    """Of each paper's first candidates the first similar one with an abstract: id, match_id, ratio.
+def _thin(titles: DataFrame, least: float) -> DataFrame:
+    """``title`` with its length, its band of lengths and the counts of its characters by class."""
+    size = F.length("title")
+    counts = [size - F.length(F.replace("title", F.lit(c))) for c in CLASSES]
+    kept = titles.withColumn("size", size).withColumn("bag", F.array(*counts))
+    # similar titles differ in length by the factor at most, so their bands are the same or neighbours
+    factor = (2 - least) / least * (1 + 1e-9)
+    return kept.withColumn("band", F.floor(F.log("size") / math.log(factor)))
 
-    ``papers`` has id, title; ``catalogue`` has match_id, title, abstract. Candidates share a title's rarest
-    words: the more they share, the earlier they come.
-    """
 
-    def words(df: DataFrame, id_col: str) -> DataFrame:
-        return df.select(id_col, F.explode(F.array_distinct(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"))).alias("word")).where("word <> ''")
-
-    theirs = words(catalogue, "match_id")
-    counted = theirs.groupBy("word").agg(F.count("*").alias("titles"))
-    rare = Window.partitionBy("id").orderBy("titles", "word")
-    probes = words(papers, "id").join(counted, "word").withColumn("_n", F.row_number().over(rare)).where("_n <= 4").select("id", "word")
-    shared = probes.join(theirs, "word").groupBy("id", "match_id").agg(F.count("*").alias("shared"))
-    best = Window.partitionBy("id").orderBy(F.desc("shared"), "match_id")
-    chosen = shared.withColumn("place", F.row_number().over(best)).where(F.col("place") <= candidates)
-    pairs = chosen.join(papers.select("id", F.lower("title").alias("_a")), "id").join(catalogue.select("match_id", F.lower("title").alias("_b"), "abstract"), "match_id")
-    similar = pairs.withColumn("ratio", ratio("_a", "_b")).where((F.col("ratio") >= least) & (F.coalesce(F.trim("abstract"), F.lit("")) != ""))
-    return similar.groupBy("id").agg(F.min_by(F.struct("match_id", "ratio"), "place").alias("_m")).select("id", "_m.match_id", "_m.ratio")
+def catalogue_abstracts(papers: DataFrame, catalogue: DataFrame, least: float = LEAST_RATIO) -> DataFrame:
+    """Of all similar catalogue titles with an abstract the most similar: id, match_id, ratio; of equal ratios the least match_id.
+
+    ``papers`` has id, title; ``catalogue`` has match_id, title, abstract. Equal titles are joined; each other title
+    is compared with every one that two upper bounds of the ratio leave: by the lengths, and by the characters in
+    common. Both are proven, so no match is lost. Null and blank titles match nothing.
+    """
+    mine = papers.select("id", F.lower("title").alias("title")).where(F.trim("title") != "")
+    theirs = catalogue.where(F.trim("abstract") != "").groupBy(F.lower("title").alias("title")).agg(F.min("match_id").alias("match_id")).where(F.trim("title") != "")
+    equal = theirs.select("title", "match_id", F.lit(1.0).alias("ratio"))
+    other = mine.select("title").distinct().join(theirs.select("title"), "title", "left_anti")
+    a = _thin(other, least).select(F.col("title").alias("_a"), F.col("size").alias("_m"), F.col("bag").alias("_x"), F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"), F.pmod(F.xxhash64("title"), F.lit(SALTS)).alias("_salt"))
+    b = _thin(theirs, least).select(F.col("title").alias("_b"), "match_id", F.col("size").alias("_n"), F.col("bag").alias("_y"), "band", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("_salt"))
+    both = F.aggregate(F.zip_with("_x", "_y", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    # characters outside of the classes count as one class more
+    rest = lambda n, bag: F.col(n) - F.aggregate(bag, F.lit(0), lambda s, x: s + x)
+    common = both + F.least(rest("_m", "_x"), rest("_n", "_y"))
+    needed = (F.col("_m") + F.col("_n")) * F.lit(least / 2) - 1e-6
+    pairs = a.join(b, ["band", "_salt"]).where((F.least("_m", "_n") >= needed) & (common >= needed))
+    similar = pairs.withColumn("ratio", ratio("_a", "_b")).where(F.col("ratio") >= least)
+    best = similar.groupBy(F.col("_a").alias("title")).agg(F.min(F.struct((-F.col("ratio")).alias("less"), "match_id")).alias("_m"))
+    found = equal.unionByName(best.select("title", "_m.match_id", (-F.col("_m.less")).alias("ratio")))
+    return mine.join(found, "title").select("id", "match_id", "ratio")
 
 
 def by_pattern(papers: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:

@@ -1,4 +1,6 @@
 import datetime as dt
+import difflib
+import random
 
 from pyspark.sql import functions as F
 
@@ -117,3 +119,24 @@ def test_quality_is_over_all_scores(spark):
     assert tuple(R.quality_stats(df.limit(0)).first()) == (0, 0.0, 0)
     d = "/root/testdata/sf0.001"
     assert QUERIES["audit_quality_all"](spark, d).first().n_quality == spark.read.parquet(f"{d}/labels.parquet").count() > QUERIES["audit_quality"](spark, d).first().n_quality
+
+
+def test_linking_loses_no_match(spark):
+    draw = random.Random(3)
+    words = "agile teams study of code review in large systems the näive σ".split()
+    titles = [" ".join(draw.choices(words, k=draw.randint(1, 9))) for _ in range(40)]
+    near = [t[: draw.randint(0, len(t))] + draw.choice("xé ") + t[draw.randint(0, len(t)) :] if i % 3 else t[:-1] + "q" for i, t in enumerate(titles)]
+    # eight templates of the same rare words come before the equal title, and blank abstracts before all
+    same = [(f"a{i}", f"quantum zebra yonder xylophone passage number {'abcdefgh'[i] * 30}", "text") for i in range(8)]
+    whole = "quantum zebra yonder xylophone passage number nine"
+    catalogue = same + [(f"b{i}", whole, " " if i % 2 else None) for i in range(5)] + [("z", whole.upper(), "text"), ("zz", whole, "text")]
+    catalogue += [(f"c{i}", t, "text" if i % 4 else "") for i, t in enumerate(near)] + [("e", "", "text"), ("f", None, "text")]
+    papers = [("p", whole), ("q", whole[:-1]), ("e", ""), ("f", None)] + [(f"t{i}", t) for i, t in enumerate(titles)]
+    want = {}
+    for i, t in papers:
+        fits = [(-difflib.SequenceMatcher(None, t.lower(), c.lower()).ratio(), m) for m, c, x in catalogue if t and c and (x or "").strip()]
+        if fits and min(fits)[0] <= -0.9:
+            want[i] = (min(fits)[1], -min(fits)[0])
+    got = linking.catalogue_abstracts(spark.createDataFrame(papers, "id string, title string"), spark.createDataFrame(catalogue, "match_id string, title string, abstract string")).collect()
+    assert {r.id: (r.match_id, r.ratio) for r in got} == want and len(got) == len(want)
+    assert want["p"] == ("z", 1.0) and want["q"][0] == "z" and 5 < len(want) < len(papers)
