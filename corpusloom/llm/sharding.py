@@ -5,10 +5,12 @@ of a shard's capacity. Units go, largest first, to the shard where the dot produ
 vector with the shard's residual capacity is highest, so a unit fills what a shard still lacks.
 
 What is placed is bounded whatever the input: groups are bundled whole into CELLS cells by
-digest. A group above 1/HEAVY of a shard in any component is placed by itself, and one above
-1/PART of a shard is first split into parts by id, as otherwise the law below couldn't hold; there
-are at most 3 * HEAVY * shards heavy groups. Only these sums reach the driver. Slots come from
-the units' row counts and a window within each unit.
+digest. A group above 1/HEAVY of a shard in any component is placed by itself; there are at most
+3 * HEAVY * shards of them. It stays whole up to 1/WHOLE of a shard, and the cells even the sizes
+out afterwards. A larger one is split by id into the fewest parts of about that size, as otherwise
+the law below couldn't hold. Slots are given in runs of about 1/PART of a shard, so that no task
+numbers a whole part: several runs make up a part and go to its shard. Only the runs' sums reach the
+driver. Slots come from the runs' row counts and a window within each run.
 
 The law held is ``bytes``: shards of nearly equal sizes.
 
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import cut, table
 
-CELLS, HEAVY, PART = 8192, 256, 128
+CELLS, HEAVY, WHOLE, PART = 8192, 256, 4, 128
 #: Of bytes, tokens and rows in the dot product. Bytes are the law.
 WEIGHTS = (4.0, 1.0, 1.0)
 
@@ -62,16 +64,22 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     if not total["rows"]:
         return thin.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     share = F.greatest(*[F.col(c) * shards / total[c] for c in ("size", "tokens", "rows")])
-    heavy = thin.groupBy("digest").agg(*sums).where(share > 1 / HEAVY).select("digest", F.ceil(share * PART).cast("int").alias("parts")).collect()
-    kinds = spark.createDataFrame([(r["digest"], r["parts"]) for r in heavy], "digest string, parts int")
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    heavy = thin.groupBy("digest").agg(*sums).where(share > 1 / HEAVY).select("digest", F.ceil(share * WHOLE).cast("int").alias("parts"), F.ceil(share * PART).cast("int").alias("runs")).collect()
+    kinds = spark.createDataFrame([(r["digest"], r["parts"], r["runs"]) for r in heavy], "digest string, parts int, runs int")
+    run = F.pmod(F.xxhash64("doc_id"), F.col("runs"))
+    part = F.floor(run * F.col("parts") / F.col("runs"))
     cell = F.pmod(F.xxhash64("digest"), F.lit(CELLS)).cast("string")
     # heavy groups are at most 3 * HEAVY * shards, and so their table is small by proof
-    united = thin.join(F.broadcast(kinds), "digest", "left").withColumn("unit", F.when(F.col("parts").isNull(), cell).otherwise(F.concat_ws("-", "digest", part)))
-    units = united.groupBy("unit").agg(*sums).orderBy("unit").collect()
-    at = place(np.array([[u["size"], u["tokens"], u["rows"]] for u in units], dtype=np.float64), shards)
+    united = thin.join(F.broadcast(kinds), "digest", "left").withColumn("unit", F.when(F.col("runs").isNull(), cell).otherwise(F.concat_ws("-", "digest", run)))
+    united = united.withColumn("whole", F.when(F.col("runs").isNull(), cell).otherwise(F.concat_ws("-", "digest", part)))
+    units = united.groupBy("unit", "whole").agg(*sums).orderBy("unit").collect()
+    loads: dict[str, np.ndarray] = {}
+    for u in units:
+        loads[u["whole"]] = loads.get(u["whole"], 0) + np.array([u["size"], u["tokens"], u["rows"]], dtype=np.float64)
+    at = dict(zip(loads, place(np.array(list(loads.values())), shards), strict=True))
     begin, rows = np.zeros(shards, dtype=np.int64), []
-    for u, s in zip(units, at, strict=True):
+    for u in units:
+        s = at[u["whole"]]
         rows.append((u["unit"], int(s), int(begin[s])))
         begin[s] += u["rows"]
     placed = spark.createDataFrame(rows, "unit string, shard int, begin long")

@@ -159,6 +159,19 @@ def test_shards(spark, texts):
     assert sharding.shard_documents(docs(spark, []), 4).count() == 0
 
 
+def test_shards_keep_copies_together(spark):
+    """Groups of 3 to 24 hundredths of a shard stay whole; one of 1.6 shards is split, and the sizes are even."""
+    groups = {f"copy number {g:06d}": n for g, n in enumerate((15, 40, 90, 120))} | {"the largest group": 800}
+    texts = [t for t, n in groups.items() for _ in range(n)]
+    texts += [f"text number {i:06d}" for i in range(2000 - len(texts))]
+    got = sharding.shard_documents(docs(spark, texts), 4).collect()
+    home = {t: {r.shard for r in got if texts[r.doc_id] == t} for t in groups}
+    assert [len(home[t]) for t in groups][:4] == [1] * 4 and len(home["the largest group"]) > 1
+    for s in range(4):
+        own = [r for r in got if r.shard == s]
+        assert sorted(r.slot for r in own) == list(range(len(own))) and abs(sum(r["size"] for r in own) / sum(r["size"] for r in got) - 0.25) < 0.01
+
+
 def test_near_duplicates(spark, texts):
     rnd = random.Random(5)
     family = [words(rnd, 60).split() for _ in range(6)]
