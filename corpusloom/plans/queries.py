@@ -146,8 +146,8 @@ def _export(source: str) -> None:
         kept = decisions(spark, d).where(F.col("status").isin("INCLUDED", "EXCLUDED"))
         joined = kept.join(papers(spark, d).where(F.col("source_type") == source).withColumnRenamed("id", "paper_id"), "paper_id")
         codes = lambda p: F.array_join(F.filter("codes", lambda c: c.startswith(p)), "; ")
-        # a sheet is numbered through, and a sheet is a report for people
-        return joined.select(F.row_number().over(Window.orderBy("paper_id")).alias("number"), "paper_id", F.col("metadata")["Library"].alias("library"), codes("IC").alias("cis"), codes("EC").alias("ces"), F.when(F.col("status") == "INCLUDED", "YES").otherwise("NO").alias("revisor"))
+        placed = R.places(joined.select("paper_id", "metadata", "codes", "status"), F.col("paper_id"))
+        return placed.select(F.col("place").cast("int").alias("number"), "paper_id", F.col("metadata")["Library"].alias("library"), codes("IC").alias("cis"), codes("EC").alias("ces"), F.when(F.col("status") == "INCLUDED", "YES").otherwise("NO").alias("revisor"))
 
     f.__name__ = f"export_{source.lower()}"
     query(f"""WITH {_P}, {_D} SELECT CAST(row_number() OVER (ORDER BY paper_id) AS INTEGER) AS number, paper_id, library, CASE WHEN code LIKE 'IC%' THEN code ELSE '' END AS cis,

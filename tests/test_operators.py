@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import html_text, normalize_title
 from corpusloom.operators import review as R
 from corpusloom.operators import screening as S
+from corpusloom.plans import QUERIES
 from corpusloom.sources.papers import read_csv
 
 
@@ -30,6 +31,29 @@ def test_duplicates_keep_the_first(spark):
     assert [r.is_duplicate for r in S.mark_duplicates(df).orderBy("ordinal").collect()] == [False, True, False, False]
 
 
+def test_duplicates_in_hot_groups(spark):
+    """Against brute force, and without a window that holds a title's papers in one task."""
+    titles, states = ["Hot title", "hot  TITLE!", "", None, "a", "b", "c"], [None, "INCLUDED", "EXCLUDED", "NEEDS_REVIEW", None]
+    rows = [(i * 7 % 1009, str(i), titles[i % 2] if i % 3 else titles[i % 7] if i % 5 else f"own {i}", states[i * i % 11 % 5]) for i in range(1000)]
+    df = spark.createDataFrame([r[:3] for r in rows], "ordinal long, id string, title string").repartition(4)
+    decided = spark.createDataFrame([(r[1], r[3]) for r in rows if r[3]], "paper_id string, status string")
+    for existing in (None, decided):
+        seen, want = set(), {}
+        for _, i, t, status in sorted(rows, key=lambda r: r[0]):
+            status, key = status if existing else None, t and "hot title" if t in titles[:2] else t
+            want[i] = status is None and key in seen
+            if status != "NEEDS_REVIEW":
+                seen.add(key)
+        marked = S.mark_duplicates(df, existing)
+        assert {r.id: r.is_duplicate for r in marked.collect()} == want and marked.count() == len(rows)
+        assert "Window" not in marked._jdf.queryExecution().toString()
+
+
+def test_exports_are_numbered_in_chunks(spark):
+    for name in ("export_wl", "export_gl"):
+        assert "windowspecdefinition(_chunk" in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
 def test_codes_and_quality(spark):
     df = spark.createDataFrame([(["IC2", "EC1"], "YES", 3.0), (["EC1"], "YES", 1.5), ([], "NO", 2.0)], "codes array<string>, v string, s double")
     assert [r.c for r in df.select(R.reconciled_codes(F.col("codes"), F.col("v")).alias("c")).collect()] == [["IC2"], ["IC1"], ["EC5"]]
