@@ -3,12 +3,13 @@
 No piece of the vocabulary goes on past a whitespace marker once other characters have begun, and
 none holds a line break (both are checked of the model that is loaded). So a text falls into
 chunks, runs of spaces with the word after them and single line breaks, that are segmented
-independently of each other. Each distinct chunk is segmented once by the library and the ids are
-joined back by position. A model that fails the check has whole texts encoded instead.
+independently of each other. The library segments each distinct chunk once a worker and filling of
+its table, and the ids are put back by position. A model that fails the check has whole texts
+encoded instead.
 
-The table lives in each Python worker for the chunks it meets. As a Spark table of its own it
-would need one shuffled row a word and position, about three times the input; see the README.
-It is emptied at TABLE_ROWS entries, which costs time and no exactness.
+The table isn't shared: it lives in each Python worker for the chunks it meets and is emptied at
+TABLE_ROWS entries, which costs time and no exactness. As a Spark table of its own it would need one
+shuffled row a word and position; that form's shuffle is not measured.
 
 Cases: a null text is empty, has no ids and decodes to the empty text. Repeated rows give
 repeated results, an empty table none. Extra columns are kept by ``encode`` and ignored by the
