@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, parts
+from corpusloom.llm.common import cut, discard, parts
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -34,7 +34,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, label) of each id in edges (a, b): the least id of its component.
+    """(id, label) of each id in edges (a, b) but the labels' own: the least id of its component.
 
     Rounds take a number of steps that grows with the logarithm of the ids; each is written to the
     shared folder and the next reads it, dealt by PART_ROWS edges a partition, so few edges make few
@@ -44,9 +44,24 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
     while state[0]:
-        now = cut(_small_star(_large_star(now.coalesce(parts(state[0]))).distinct()).distinct(), "edges")
+        old, now = now, cut(_small_star(_large_star(now.coalesce(parts(state[0]))).distinct()).distinct(), "edges")
+        discard(old)
         before, state = state, _state(now)
         if state == before:
             break
     # at rest every edge leads to its component's least id
-    return now.select(F.col("a").alias("id"), F.col("b").alias("label")).unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
+    out = now.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    out._written_at = now._written_at
+    return out
+
+
+def extended(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` of ``components`` after more edges: only these are gone over again, between labels."""
+    between = edges
+    for c in ("a", "b"):
+        between = between.join(labels.select(F.col("id").alias(c), F.col("label").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+    new = components(between)
+    moved = labels.join(new.select(F.col("id").alias("label"), F.col("label").alias("_to")), "label", "left")
+    out = cut(moved.select("id", F.coalesce("_to", "label").alias("label")).unionAll(new), "labels")
+    discard(labels, new)
+    return out

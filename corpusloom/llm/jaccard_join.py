@@ -1,6 +1,6 @@
 """Operator 8: n-gram Jaccard join for near duplicates.
 
-A document's set is its distinct word shingles, as 64-bit hashes in order. Texts with equal sets
+A document's set is its distinct word shingles, as 64-bit hashes in order. Rows with equal sets
 are one class; classes of Jaccard similarity of at least ``percent`` are linked, and the result is
 each document's component.
 
@@ -9,107 +9,66 @@ n - ceil(t n) + 1 in any one order of all shingles, so a class goes to the tiles
 The order is by frequency class, then hash: a fixed-size table of counts, summed over all
 documents, makes passages that many documents share come last, so they open no tiles; the
 table's collisions cost time but lose no pair. Within a tile rows are sorted by size and banded: a
-band spans the sizes that can be similar to its smallest set.
+band spans the sizes that can be similar to its smallest set. A key whose count shows that it is
+hot is salted into sub-tiles of about BLOCK rows, and their heads meet in a tile of their own.
 
-Links are looked for in two steps. First each class against the head of one of its bands, which
+Links are looked for in two steps. First each class against the heads of its bands, which
 joins nearly all of a group of copies in linear time; then, in tiles that still hold two components,
-all pairs of different components. There bitmap signatures of hashed shingles bound the overlap
+all pairs of different components. In both, bitmap signatures of hashed shingles bound the overlap
 from above: a bit that one set has and the other lacks is an element not shared. What remains is
-intersected exactly, as sorted arrays. Tiles above BLOCK rows are cut into pairs of blocks.
+intersected exactly, as sorted arrays. In the second step a tile is cut into blocks of its largest
+component and of the others; only pairs of blocks with one of the others are compared, so a large
+component is never held against itself.
 
 Cases: null and empty texts have no shingles and link with nothing, each is its own component.
-Repeated rows are one class; of rows that share an id but not their text, one text is compared. Null ids don't take part in links; their component is null. An empty
-table gives no rows. Extra columns are ignored.
+Rows are nodes: repeated rows are one class, and rows that share an id but not their text link each
+by its own text. A row with a null id takes part; a component's id is its least id that isn't null, or
+null. Very long texts are taken whole. An empty table gives no rows. Extra columns are ignored by
+``near_duplicates`` and kept by ``deduplicated``; their names may be any but those that begin with ``_``.
 """
 
 from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, in_slices, parts, table, with_mark, without
-from corpusloom.llm.components import components
+from corpusloom.llm.common import cut, discard, in_slices, lean, parts, table, with_mark
+from corpusloom.llm.components import components, extended
+from corpusloom.llm.shingles import mixed, shingle_sets
 
-WORDS, PERCENT = 5, 80
+PERCENT = 80
 #: Counters of the frequency table, and the parts in which they are summed.
 COUNTERS, COUNTER_PARTS = 1 << 23, 64
 SIGNATURE_BYTES = 256
-BLOCK = 2048
+#: Rows of a block, and log2 of it.
+BLOCK, BLOCK_CLASS = 2048, 11
+#: Bytes and rows of texts whose sets are held at once.
+ROOM, SLICE = 1 << 19, 256
 #: For the rounding of margins in doubles; what passes is intersected exactly.
 SLACK = 1e-6
-#: Rounds of likeliest pairs at most, and the last is one in which not every MANYth pair links; what they leave is for the last step.
-BEST_ROUNDS, MANY = 3, 20
+#: Rounds of likeliest pairs at most, while tiles hold more than PER_ROW pairs a row; the last is one in which not every MANYth pair links. What they leave is for the last step.
+BEST_ROUNDS, PER_ROW, MANY = 3, 16, 20
 #: Pairs of texts that one partition takes.
 PAIRS = 256
-WORD_TABLE = 500_000
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORD_TABLE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _WordHashes()
-_P = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
-    """Each text's distinct shingle hashes, ascending."""
-    # bytes are lower-cased in A-Z alone and split at \x20 and \x09-\x0D
-    parts = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-    flat = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(parts)), np.uint64, sum(map(len, parts)))
-    ends = np.cumsum([len(p) for p in parts])
-    with np.errstate(over="ignore"):
-        rolled = np.zeros(max(0, len(flat) - words + 1), np.uint64)
-        for i in range(words):
-            rolled = rolled * _P + flat[i : len(flat) - words + 1 + i]
-        rolled = _mixed(rolled)
-        out, begin = [], 0
-        for end in ends:
-            if end - begin >= words:
-                s = np.sort(rolled[begin : end - words + 1])
-                out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
-            elif end > begin:
-                one = np.uint64(end - begin)
-                for h in flat[begin:end]:
-                    one = one * _P + h
-                out.append(_mixed(np.array([one])))
-            else:
-                out.append(np.empty(0, np.uint64))
-            begin = end
-    return out
-
-
-def _texts(b: pa.RecordBatch) -> list[str | None]:
-    return b.column("text").to_pylist()
 
 
 def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS, np.uint32)
+    total = np.zeros(COUNTERS, np.uint16)
     for whole in batches:
-        for b in in_slices(whole, 256):
-            for s in shingle_sets(_texts(b)):
-                np.add.at(total, (s & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
+        for b in in_slices(whole, SLICE, ROOM):
+            for s in shingle_sets(b.column("text")):
+                at = (s & np.uint64(COUNTERS - 1)).astype(np.int64)
+                held = total[at]
+                total[at] = held + (held < 65535)
     # what a task met once is no passage, and most of what fills a table too small for all shingles
-    total[total == 1] = 0
-    rows = np.minimum(total, 255).astype(np.uint8).reshape(COUNTER_PARTS, -1)
-    yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_PARTS), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["part", "counts"])
+    rows = [np.minimum(np.where(part == 1, 0, part), 255).astype(np.uint8).tobytes() for part in total.reshape(COUNTER_PARTS, -1)]
+    yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_PARTS), pa.int32()), pa.array(rows, pa.binary())], names=["part", "counts"])
 
 
 def _summed(t: pa.Table) -> pa.Table:
@@ -122,112 +81,153 @@ def _summed(t: pa.Table) -> pa.Table:
 
 def frequency_classes(docs: DataFrame) -> np.ndarray:
     """log2 of the documents counted under each counter: one byte a counter, COUNTERS bytes."""
-    parts = docs.select("text").mapInArrow(_count_shingles, "part int, counts binary").groupBy("part").applyInArrow(_summed, "part int, classes binary")
-    got = {r["part"]: bytes(r["classes"]) for r in parts.collect()}
+    counted = docs.select("text").mapInArrow(_count_shingles, "part int, counts binary").groupBy("part").applyInArrow(_summed, "part int, classes binary")
+    got = {r["part"]: bytes(r["classes"]) for r in counted.collect()}
     empty = bytes(COUNTERS // COUNTER_PARTS)
     return np.frombuffer(b"".join(got.get(i, empty) for i in range(COUNTER_PARTS)), np.uint8)
 
 
+def signature(s: np.ndarray) -> bytes:
+    bits = np.zeros(8 * SIGNATURE_BYTES, np.uint8)
+    bits[(s >> np.uint64(40)).astype(np.int64) % len(bits)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _text_key() -> list[Column]:
+    """What a row is known by wherever its text is needed again."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_k"), F.xxhash64("text").alias("_th")]
+
+
 def _prefixes(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n, digest of the set, keys: the shingles of its tiles."""
-    classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs))
+    """For each row, under a row number: n, digest, signature, and the shingles of its tiles with their salts (0: the key isn't hot)."""
+    classes = frequency_classes(docs)
+    # a key is hot above a block and above twice what counters hold anyhow, as keys that share one
+    usual = int(np.median(classes)) + 1
+    sent = docs.sparkSession.sparkContext.broadcast((classes, max(BLOCK_CLASS, usual)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table_of, warm = sent.value
         for whole in batches:
-            for b in in_slices(whole, 256):
-                sets = shingle_sets(_texts(b))
-                keys = []
+            for b in in_slices(whole, SLICE, ROOM):
+                sets = shingle_sets(b.column("text"))
+                keys, salts, digests = [], [], []
                 for s in sets:
                     n = len(s)
                     most = n - -(-percent * n // 100) + 1 if n else 0
-                    own = classes.value[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                    keys.append(s[np.argsort(own, kind="stable")[:most]].view(np.int64))  # s ascends, so ties are by hash
+                    own = table_of[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                    first = np.argsort(own, kind="stable")[:most]  # s ascends, so ties are by hash
+                    keys.append(s[first].view(np.int64))
+                    digest = xxhash.xxh3_128_digest(s.tobytes()) if n else None
+                    digests.append(digest)
+                    over = np.maximum(own[first].astype(np.int64) - warm, 0)
+                    salts.append(np.where(over, 1 + (int.from_bytes(digest[:7], "little") & ((1 << over) - 1)), 0) if over.any() else np.zeros(most, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(map(len, sets), pa.int32()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "digest", "keys"],
-                )
-
-    return docs.mapInArrow(run, "doc_id long, n int, digest binary, keys array<long>")
+                    [
+                        *(b.column(c) for c in ("rid", "doc_id", "_k", "_th")), pa.array(map(len, sets), pa.int32()), pa.array(digests, pa.binary()),
+                        pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int64())),
+                    ],
+                    names=["rid", "doc_id", "_k", "_th", "n", "digest", "bits", "keys", "salts"],
+                )
+
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), *_text_key(), "text")
+    return rows.mapInArrow(run, "rid long, doc_id long, _k long, _th long, n int, digest binary, bits binary, keys array<long>, salts array<long>")
+
+
+def _heads(n: list[int], doc: list[int], percent: int) -> list[int]:
+    """The head of each row's band, of one tile's rows by size."""
+    out, head, least = [], 0, -1
+    for size, d in zip(n, doc, strict=True):
+        if least < 0 or percent * size > 100 * least:
+            head, least = d, size
+        out.append(head)
+    return out
 
 
 def _banded(percent: int):
-    """Of rows sorted by (key, n, doc): those of keys with two rows or more, with the head of their band."""
+    """Of rows sorted by (key, salt, n, doc): tiles of two rows or more, and hot ones, with each row's head.
+
+    Tiles of the same rows hold the same pairs and get the same number, so that one stands for all. Sub-tiles of
+    a hot key share the key's. A tile's rows are held together: about BLOCK, or what two counters hold.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, ...] | None = None  # the last row, whose successor isn't known yet
-        before, head, least = None, 0, 0
+        held: list[np.ndarray] | None = None
         for b in batches:
-            cols = tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "doc"))
+            cols = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "salt", "n", "doc")]
             if held is not None:
-                cols = tuple(np.concatenate(x) for x in zip(held, cols, strict=True))
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             if not len(cols[0]):
                 continue
-            key = cols[0]
-            follows = np.concatenate([[before is not None and key[0] == before], key[1:] == key[:-1]])
-            some = (follows | np.concatenate([key[1:] == key[:-1], [False]]))[:-1]
-            held = tuple(c[-1:] for c in cols)
-            at = np.flatnonzero(some)
-            heads = np.empty(len(at), np.int64)
-            for i, (new, n, doc) in enumerate(zip(~follows[at], cols[1][at].tolist(), cols[2][at].tolist(), strict=True)):
-                if new or percent * n > 100 * least:
-                    head, least = doc, n
-                heads[i] = head
-            if len(key) > 1:
-                before = key[-2]
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(cols[1][at], pa.int32()), pa.array(cols[2][at]), pa.array(heads)], names=["key", "n", "doc", "head"])
-        if held is not None and before is not None and held[0][0] == before:
-            n, doc = int(held[1][0]), int(held[2][0])
-            if percent * n > 100 * least:
-                head = doc
-            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array([n], pa.int32()), pa.array([doc], pa.int64()), pa.array([head], pa.int64())], names=["key", "n", "doc", "head"])
+            new = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
+            done = int(new[-1]) if len(new) else 0
+            yield from found([c[:done] for c in cols], np.concatenate([[0], new]))
+            held = [c[done:] for c in cols]
+        if held is not None:
+            yield from found(held, np.array([0, len(held[0])]))
+
+    def found(cols: list[np.ndarray], edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(edges) < 2 or not edges[-1]:
+            return
+        key, salt, n, doc = cols
+        own = mixed(doc.view(np.uint64) + np.uint64(1))
+        sums = np.add.reduceat(own, edges[:-1]).view(np.int64)
+        rows = np.diff(edges)
+        hot = salt[edges[:-1]] > 0
+        number = np.where(hot, key[edges[:-1]], sums)
+        take = np.flatnonzero((rows > 1) | hot)
+        if not len(take):
+            return
+        at = np.concatenate([np.arange(edges[i], edges[i + 1]) for i in take])
+        heads = np.concatenate([_heads(n[edges[i] : edges[i + 1]].tolist(), doc[edges[i] : edges[i + 1]].tolist(), percent) for i in take])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(number[take], rows[take])), pa.array(np.repeat(hot[take], rows[take])), pa.array(n[at], pa.int32()), pa.array(doc[at]), pa.array(heads, pa.int64())], names=["tile", "hot", "n", "doc", "head"]
+        )
 
     return run
 
 
-def signature(s: np.ndarray) -> bytes:
-    bits = np.zeros(8 * SIGNATURE_BYTES, np.uint8)
-    bits[(s >> np.uint64(40)).astype(np.int64) % len(bits)] = 1
-    return np.packbits(bits).tobytes()
-
-
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for b in in_slices(whole, 256):
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([signature(s) for s in shingle_sets(_texts(b))], pa.binary()), b.column("hash")], names=["id", "bits", "hash"])
+def _bands(rows: DataFrame, percent: int) -> DataFrame:
+    """tile, hot, n, doc, head of rows (key, salt, n, doc)."""
+    ordered = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "doc")
+    return ordered.mapInArrow(_banded(percent), "tile long, hot boolean, n int, doc long, head long")
 
 
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, other = None, np.empty(0, np.uint64)
         for whole in batches:
-            for b in in_slices(whole, 256):
-                keep, last, other = [], None, np.empty(0, np.uint64)
-                ys = b.column("y").to_pylist()
-                for s, id_b, y in zip(shingle_sets(b.column("x").to_pylist()), b.column("b").to_pylist(), ys, strict=True):
-                    if id_b != last:  # rows come in order of b
-                        last, (other,) = id_b, shingle_sets([y])
+            for b in in_slices(whole, SLICE, ROOM, "x"):
+                ids = b.column("b").to_numpy()
+                new = np.flatnonzero(np.concatenate([[last is None or ids[0] != last], ids[1:] != ids[:-1]]))  # rows come in order of b
+                ys = shingle_sets(b.column("y").take(pa.array(new)))
+                keep, at = [], -1
+                for i, s in enumerate(shingle_sets(b.column("x"))):
+                    if at + 1 < len(new) and new[at + 1] == i:
+                        at += 1
+                        other = ys[at]
                     # 100 i >= p (s + t - i)
                     keep.append((100 + percent) * len(np.intersect1d(s, other, assume_unique=True)) >= percent * (len(s) + len(other)))
+                last = ids[-1]
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _texts_for(docs: DataFrame, ids: DataFrame, to: str) -> DataFrame:
-    """Texts of the ids (one column), as (that column, ``to``); one text an id, always the same."""
-    (name,) = ids.columns
-    marked = with_mark(docs.where("text is not null"), "doc_id", ids).where("_marked")
-    return marked.groupBy(F.col("doc_id").alias(name)).agg(F.min_by("text", F.xxhash64("text")).alias(to))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of the written pairs (a, b) those that are similar, by exact intersection.
+def _verified(pairs: DataFrame, base: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Of the written pairs (a, b) those that are similar, by exact intersection; a written table.
 
     Only texts of the pairs are shuffled and their sets made again, as a set takes three times the room of its text.
     """
-    x, y = (_texts_for(docs, pairs.select(c), t) for c, t in (("a", "x"), ("b", "y")))
+    wanted = base.select("rid", "_k", "_th").join(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "rid")
+    wanted = cut(wanted.withColumn("_tk", F.xxhash64("_k", "_th")), "wanted")
+    rows = docs.where("text is not null").select(*_text_key(), "text").withColumn("_tk", F.xxhash64("_k", "_th"))
+    marked = with_mark(rows, "_tk", wanted.select("_tk")).where("_marked").groupBy("_k", "_th").agg(F.first("text").alias("text"))
+    texts = cut(wanted.join(marked, ["_k", "_th"]).select("rid", "text"), "texts")
+    x, y = (texts.select(F.col("rid").alias(c), F.col("text").alias(t)) for c, t in (("a", "x"), ("b", "y")))
     dealt = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").coalesce(parts(pairs.count(), PAIRS))
-    return dealt.mapInArrow(_linked(percent), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = cut(dealt.mapInArrow(_linked(percent), "a long, b long"), "links")
+    discard(wanted, texts)
+    return links
 
 
 def _margin(n_a: np.ndarray, bits_a: np.ndarray, n_b: np.ndarray, bits_b: np.ndarray, percent: int) -> np.ndarray:
@@ -239,7 +239,7 @@ def _margin(n_a: np.ndarray, bits_a: np.ndarray, n_b: np.ndarray, bits_b: np.nda
     return (100 + percent) * shared / (n_a + n_b) - percent
 
 
-def _words(column: pa.Array) -> np.ndarray:
+def _bits_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SIGNATURE_BYTES // 8)
 
 
@@ -250,7 +250,7 @@ def _filtered(percent: int):
         for b in batches:
             if b.num_rows:
                 n = [b.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b")]
-                keep = _margin(n[0], _words(b.column("bits_a")), n[1], _words(b.column("bits_b")), percent) >= -SLACK
+                keep = _margin(n[0], _bits_of(b.column("bits_a")), n[1], _bits_of(b.column("bits_b")), percent) >= -SLACK
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -295,15 +295,15 @@ def _tile_pairs(percent: int, best: bool):
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = {c: b.column(c).to_numpy().astype(np.int64) for c in ("key", "t1", "t2", "n", "doc", "label", "block")} | {"bits": _words(b.column("bits"))}
+            cols = {c: b.column(c).to_numpy().astype(np.int64) for c in ("tile", "t1", "t2", "n", "doc", "label", "block")} | {"bits": _bits_of(b.column("bits"))}
             if held is not None:
                 cols = {c: np.concatenate([held[c], v]) for c, v in cols.items()}
-            new = np.flatnonzero((cols["key"][1:] != cols["key"][:-1]) | (cols["t1"][1:] != cols["t1"][:-1]) | (cols["t2"][1:] != cols["t2"][:-1])) + 1
+            new = np.flatnonzero((cols["tile"][1:] != cols["tile"][:-1]) | (cols["t1"][1:] != cols["t1"][:-1]) | (cols["t2"][1:] != cols["t2"][:-1])) + 1
             edges = [0, *new.tolist()]
             yield _found(cols, edges, pairs)
             held = {c: v[edges[-1] :] for c, v in cols.items()}  # the last tile may go on: two blocks at most
         if held is not None:
-            yield _found(held, [0, len(held["key"])], pairs)
+            yield _found(held, [0, len(held["tile"])], pairs)
 
     return run
 
@@ -316,68 +316,109 @@ def _found(cols: dict[str, np.ndarray], edges: list[int], pairs) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
 
-def _labelled(rows: DataFrame, labels: DataFrame, of: str, to: str) -> DataFrame:
-    return rows.join(labels.select(F.col("id").alias(of), F.col("label").alias(to)), of, "left").withColumn(to, F.coalesce(to, of))
-
-
-def _heads_left(members: DataFrame, labels: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a row and the head of its band that are in different components."""
-    pairs = members.where("doc <> head").select(F.greatest("doc", "head").alias("a"), F.least("doc", "head").alias("b")).distinct()
-    apart = _labelled(_labelled(pairs, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
+def _heads_met(members: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a row and the head of one of its bands, and of heads of a hot key's sub-tiles, that signatures allow."""
+    tops = members.where("hot and doc = head").select(F.col("tile").alias("key"), F.lit(0).cast("long").alias("salt"), "n", "doc")
+    pairs = members.select("doc", "head").unionAll(_bands(tops, percent).select("doc", "head")).where("doc <> head")
+    pairs = pairs.select(F.greatest("doc", "head").alias("a"), F.least("doc", "head").alias("b")).distinct()
     for c in ("a", "b"):
-        apart = apart.join(bits.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
-    return apart.select("a", "n_a", "bits_a", "b", "n_b", "bits_b").mapInArrow(_filtered(percent), "a long, b long")
-
-
-def _in_tiles(members: DataFrame, labels: DataFrame, bits: DataFrame, percent: int, best: bool = False) -> DataFrame:
-    """Candidate pairs (a, b) in tiles that hold several components."""
-    labelled = _labelled(members.select("key", "n", "doc"), labels, "doc", "label")
-    tiles = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    rows = labelled.join(tiles.select("key", blocks.alias("blocks")), "key").join(bits.select(F.col("id").alias("doc"), "bits"), "doc")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rows.select("key", F.least("block", "other").alias("t1"), F.greatest("block", "other").alias("t2"), "block", "doc", "label", "n", "bits")
-    ordered = dealt.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "n", "doc")
+        pairs = pairs.join(bits.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
+    return pairs.select("a", "n_a", "bits_a", "b", "n_b", "bits_b").mapInArrow(_filtered(percent), "a long, b long")
+
+
+def _torn(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their component's label, and of tiles that hold several components the largest one and both counts of rows; written tables."""
+    labelled = members.select("tile", "n", "doc").join(labels.select(F.col("id").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    each = labelled.groupBy("tile", "label").agg(F.count("*").alias("rows"))
+    tiles = each.groupBy("tile").agg(F.max_by("label", F.struct("rows", "label")).alias("major"), F.max("rows").alias("top"), F.sum("rows").alias("rows"), F.count("*").alias("several")).where("several > 1")
+    return labelled, cut(tiles.select("tile", "major", "top", "rows"), "torn")
+
+
+def _in_tiles(labelled: DataFrame, tiles: DataFrame, bits: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Candidate pairs (a, b) in the tiles that hold several components."""
+    rows = labelled.join(tiles, "tile").join(bits.select(F.col("id").alias("doc"), "bits"), "doc")
+    minors, majors = F.ceil((F.col("rows") - F.col("top")) / BLOCK).cast("int"), F.ceil(F.col("top") / BLOCK).cast("int")
+    is_major = F.col("label") == F.col("major")
+    block = F.when(is_major, minors + F.pmod(F.xxhash64("doc"), majors)).otherwise(F.pmod(F.xxhash64("doc"), minors)).cast("int")
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_major, minors).otherwise(minors + majors) - 1)))
+    dealt = rows.select("tile", F.least("block", "other").alias("t1"), F.greatest("block", "other").alias("t2"), "block", "doc", "label", "n", "bits")
+    ordered = dealt.repartition("tile", "t1", "t2").sortWithinPartitions("tile", "t1", "t2", "n", "doc")
     return ordered.mapInArrow(_tile_pairs(percent, best), "a long, b long").distinct()
 
 
+def _labels(base: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(id, label) of the classes that are linked."""
+    heads = base.join(classes.select(F.col("rep.rid").alias("rid")), "rid", "left_semi")
+    rows = heads.select(F.col("rid").alias("doc"), "n", F.explode(F.arrays_zip("keys", "salts")).alias("t")).select(F.col("t.keys").alias("key"), F.col("t.salts").alias("salt"), "n", "doc")
+    members = cut(_bands(rows, percent).distinct(), "tiles")
+    bits = cut(base.select(F.col("rid").alias("id"), "n", "bits").join(members.select(F.col("doc").alias("id")).distinct(), "id", "left_semi"), "bits")
+    seen = [cut(_heads_met(members, bits, percent), "pairs")]
+    links = _verified(seen[0], base, docs, percent)
+    labels = components(links)
+    discard(links)
+    # then the likeliest pair of each component of a tile for as long as that links many, then all pairs that are left
+    best, rounds = True, 0
+    while True:
+        labelled, tiles = _torn(members, labels)
+        left = tiles.agg(F.sum("rows").alias("rows"), F.sum((F.col("rows") - F.col("top")) * F.col("rows")).alias("pairs")).first()
+        if left["rows"] is None:
+            discard(tiles)
+            break
+        best = best and rounds < BEST_ROUNDS and left["pairs"] > PER_ROW * left["rows"]
+        tried = functools.reduce(DataFrame.unionAll, seen)
+        pairs = cut(_in_tiles(labelled, tiles, bits, percent, best).join(tried, ["a", "b"], "left_anti"), "pairs")
+        discard(tiles)
+        seen.append(pairs)
+        n, found = pairs.count(), 0
+        if n:
+            links = _verified(pairs, base, docs, percent)
+            found = links.count()
+            labels = extended(labels, links)
+            discard(links)
+        if not best:
+            break
+        best, rounds = n > 0 and MANY * found >= n, rounds + 1
+    discard(members, bits, *seen)
+    return labels
+
+
+def _joined(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's facts (a written table), and by digest ``best``: of its component the row with the least id, nulls last, and least text hash."""
+    lean(docs.sparkSession)
+    base = cut(_prefixes(docs, percent), "shingles")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_th", "rid")
+    classes = cut(base.where("n > 0").groupBy("digest").agg(F.min(row).alias("rep")), "classes")
+    labels = _labels(base, classes, docs, percent)
+    labelled = classes.join(labels.withColumnRenamed("id", "_rid"), F.col("rep.rid") == F.col("_rid"), "left").select("digest", "rep", F.coalesce("label", "rep.rid").alias("label"))
+    best = labelled.groupBy("label").agg(F.min("rep").alias("best"))
+    return base, labelled.join(best, "label").select("digest", "best")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = cut(_prefixes(docs, percent), "shingles")
-    classes = cut(base.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    copies = base.select("doc_id", "digest").join(classes, "digest").where("doc_id <> rep").select("doc_id").distinct()
-    heads = without(base, "doc_id", cut(copies, "copies")).where("n > 0 and doc_id is not null")
-    rows = heads.select(F.explode("keys").alias("key"), "n", F.col("doc_id").alias("doc"))
-    met = cut(rows.repartition("key").sortWithinPartitions("key", "n", "doc").mapInArrow(_banded(percent), "key long, n int, doc long, head long"), "tiles")
-    # tiles of the same rows hold the same pairs: one stands for all, with their number
-    own = [F.sum(F.xxhash64("doc").bitwiseAND(F.lit((1 << 32) - 1))).alias("h1"), F.expr("bit_xor(xxhash64(doc, 1))").alias("h2"), F.count("*").alias("rows")]
-    tiles = met.groupBy("key").agg(*own).groupBy("h1", "h2", "rows").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
-    members = cut(met.join(tiles.select("key", "weight"), "key"), "tiles")
-    # first the head that a class meets in most tiles
-    by_head = members.groupBy(F.col("doc").alias("doc_id"), "head", "n").agg(F.sum("weight").alias("weight"))
-    best = F.max(F.when(F.col("doc_id") != F.col("head"), F.struct("weight", (-F.col("head")).alias("h"))))
-    wanted = cut(by_head.groupBy("doc_id").agg(best.alias("best"), F.first("n").alias("n")).select("doc_id", "n", F.coalesce(-F.col("best.h"), "doc_id").alias("head")), "heads")
-    # signatures are made where the documents lie; texts are fetched only for pairs
-    signed = with_mark(docs, "doc_id", wanted.select("doc_id")).where("_marked and text is not null").select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("hash")).mapInArrow(_signed, "id long, bits binary, hash long")
-    bits = cut(signed.groupBy("id").agg(F.min_by("bits", "hash").alias("bits")).join(wanted.select(F.col("doc_id").alias("id"), "n"), "id"), "bits")
-    seen = cut(wanted.where("doc_id <> head").select(F.greatest("doc_id", "head").alias("a"), F.least("doc_id", "head").alias("b")), "pairs")
-    links = cut(_verified(seen, docs, percent), "links")
-    labels = components(links)
-    # then its other heads, then the likeliest pair of each component of a tile for as long as that links many, then all pairs that are left
-    steps = [_heads_left, *[functools.partial(_in_tiles, best=True)] * BEST_ROUNDS, _in_tiles]
-    while steps:
-        pairs = cut(steps[0](members, labels, bits, percent).join(seen, ["a", "b"], "left_anti"), "pairs")
-        new = cut(_verified(pairs, docs, percent), "links")
-        seen = seen.unionAll(pairs)
-        found = new.count()
-        if found:
-            links = links.unionAll(new)
-            labels = components(links)
-        few = len(steps) > 1 and steps[0] is not _heads_left and MANY * found < pairs.count()
-        steps = steps[-1:] if few else steps[1:]
-    by_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
-    return base.select("doc_id", "n", "digest").join(by_class, "digest", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
+    base, by_class = _joined(docs, percent)
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
+    return base.select("doc_id", "n", "digest").join(by_class, "digest", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay when of each component one row does: of the least id, nulls last.
+
+    A row without words is linked with nothing and stays, but for repeats under its own id. Only rows that a bitmap
+    can't rule out to go or to be repeated are shuffled.
+    """
+    base, by_class = _joined(docs, percent)
+    stays = F.col("n").eqNullSafe(0) | ((F.col("_k") == F.coalesce("best.doc_id", F.lit(-1))) & (F.col("_th") == F.col("best._th")))
+    judged = base.select("_k", "_th", "n", "digest", "doc_id").join(by_class, "digest", "left").groupBy("_k", "_th")
+    judged = judged.agg(F.max(stays).alias("_stays"), F.max(F.expr("doc_id is null and n = 0")).alias("_apart"), F.count("*").alias("_rows"))
+    open_ = cut(judged.where("not _stays or (_rows > 1 and not _apart)").select("_k", "_th", "_stays", F.xxhash64("_k", "_th").alias("_tk")), "open")
+    keyed = docs.select("*", *_text_key()).withColumn("_tk", F.xxhash64("_k", "_th"))
+    marked = with_mark(keyed, "_tk", open_.select("_tk"))
+    sure = marked.where("not _marked").select(*docs.columns)
+    unsure = marked.where("_marked").join(open_.select("_k", "_th", "_stays"), ["_k", "_th"], "left")
+    free = unsure.where("_stays is null").select(*docs.columns)
+    one = unsure.where("_stays").dropDuplicates(["_k", "_th"]).select(*docs.columns)
+    return sure.unionAll(free).unionAll(one)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,23 +429,27 @@ QUERIES = {"op8_jaccard_join": op8_jaccard_join}
 
 ORACLE = {
     "op8_jaccard_join": r"""
-WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
-  FROM documents
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS r, doc_id, text FROM documents
+), w AS (
+  SELECT r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM t
 ), s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+  SELECT DISTINCT r, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
     ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(list_slice(words, i, i + 4), ' ')) END) AS g
   FROM w
 ), n AS (
-  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+  SELECT r, count(*) AS n FROM s GROUP BY r
 ), i AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2
+  SELECT x.r AS a, y.r AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.r <> y.r GROUP BY 1, 2
 ), e AS (
-  SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= 80 * (p.n + q.n - shared)
-), r(a, b) AS (
-  SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+  SELECT a, b FROM i JOIN n p ON p.r = a JOIN n q ON q.r = b WHERE 100 * shared >= 80 * (p.n + q.n - shared)
+), c(a, b) AS (
+  SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a
+), m AS (
+  SELECT c.a AS r, min(w.doc_id) AS other FROM c JOIN w ON w.r = c.b GROUP BY c.a
 )
-SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = w.doc_id), w.doc_id)) AS component_id
-FROM w LEFT JOIN n USING (doc_id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, m.other) AS component_id
+FROM w LEFT JOIN n USING (r) LEFT JOIN m USING (r)
 """
 }

@@ -3,20 +3,26 @@
 Features are character n-grams of 1 to 3 code points of the lower-cased text, hashed to BUCKETS
 buckets. Training adds up bucket counts by language over every labelled training document: one
 partial vector a language and task, merged by key. The log-probability matrix has languages x
-BUCKETS floats and is broadcast; it may have MAX_LANGUAGES rows, as language labels are a closed set,
-and more are an error. Scoring is sparse, in numpy: the matrix is gathered at a batch's buckets
+BUCKETS floats and is broadcast; it has MAX_LANGUAGES rows at most, and of more labels those of the fewest
+documents are not learned. Scoring is sparse, in numpy: the matrix is gathered at a batch's buckets
 and summed by document.
 
-The score is the posterior probability of the language under equal priors. A text that is null or
-has no letter is ``und`` with score 0.
+A sum of log-likelihoods over a whole text is far too sure of itself, as n-grams overlap. So the score is
+the posterior under equal priors of log-likelihoods times t * n ** (a - 1), n being the text's n-grams. A part of the
+training documents is held back from a first model, and t and a are those under which snippets of them, of SNIPPETS
+code points, have the least log loss. Besides, each language's log-likelihood an n-gram over these
+snippets has a mean and a spread by length: ``typical`` falls to 1/2 at FAR spreads below the mean, and the
+score is the posterior times it. A text that no language made is so told from a short one.
+
+A text that is null or has no letter (Unicode category L) is ``und`` with score 0.
 
 Cases: an empty training set predicts ``und`` for all. Ties go to the smaller label. A null
-id counts as the empty text in crc32, and so is in training. Repeated rows count each. Extra columns are ignored.
+id counts as the empty text in crc32, and so is in training. Repeated rows count each; very long texts are taken
+whole. Of extra columns ``predict`` keeps all but those with its own names; ``train`` ignores them.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,18 +31,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import in_slices, table, texts_of
+from corpusloom.llm.common import in_slices, lean, table, texts_of
 
 BUCKETS = 1 << 15
 ORDERS = 3
 MAX_LANGUAGES = 1000
 SMOOTHING = 0.5
-HELD_OUT = 2
+#: Remainders of crc32(id) by 4: never learned from, and held back for calibration.
+HELD_OUT, CALIBRATE = 2, 1
+#: Code points of snippets for calibration, exponents and factors tried, and spreads below the mean at which ``typical`` is 1/2.
+SNIPPETS = (4, 12, 40, 160, 640)
+EXPONENTS, FACTORS, FAR = (0.0, 0.25, 0.5, 0.75, 1.0), tuple(2.0**i for i in range(-6, 7)), 12.0
+LEAST_TYPICAL = 0.5
+#: Languages that a training task holds before it passes them on.
+HELD = 64
 #: Bytes of text whose n-grams are held at once; a longer text is one part.
 ROOM = 1 << 18
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def hashed_ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,76 +79,170 @@ def hashed_ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, np.ndarray] = {}
+    held: dict[tuple[str, bool], np.ndarray] = {}
+
+    def given() -> pa.RecordBatch:
+        langs, back = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(langs), pa.array(back), pa.array([c.astype("<i8").tobytes() for c in held.values()], pa.binary())], names=["lang", "back", "counts"])
+
     for whole in batches:
         for b in in_slices(whole, 256, ROOM):
-            texts, langs = texts_of(b), b.column("lang").to_pylist()
-            for lang in set(langs):
-                h, _ = hashed_ngrams([t for t, own in zip(texts, langs, strict=True) if own == lang])
+            texts, of = texts_of(b), list(zip(b.column("lang").to_pylist(), b.column("back").to_pylist(), strict=True))
+            for key in set(of):
+                h, _ = hashed_ngrams([t for t, own in zip(texts, of, strict=True) if own == key])
                 got = np.bincount(h, minlength=BUCKETS + 1)[:BUCKETS]
-                held[lang] = held[lang] + got if lang in held else got
-            if len(held) > MAX_LANGUAGES:
-                raise ValueError(f"more than {MAX_LANGUAGES} languages")
+                held[key] = held[key] + got if key in held else got
+            if len(held) > HELD:
+                yield given()
+                held.clear()
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array([c.astype("<i8").tobytes() for c in held.values()], pa.binary())], names=["lang", "counts"])
+        yield given()
 
 
 def _merged(t: pa.Table) -> pa.Table:
     total = np.zeros(BUCKETS, dtype=np.int64)
     for c in t.column("counts"):
         total += np.frombuffer(c.as_py(), "<i8")
-    return pa.table({"lang": t.column("lang")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"lang": t.column("lang")[:1], "back": t.column("back")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 class Model:
-    """Labels in order and the log-probabilities of buckets, languages x (BUCKETS + 1); the last, for no n-gram, is 0."""
+    """Labels in order and the log-probabilities of buckets, languages x (BUCKETS + 1); the last, for no n-gram, is 0.
+
+    mean, spread: of the log-likelihood an n-gram, by language and snippet length.
+    """
 
     def __init__(self, labels: list[str], counts: np.ndarray) -> None:
         self.labels = labels
         logs = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS)
         self.logs = np.concatenate([logs, np.zeros((len(labels), 1))], axis=1).astype(np.float32)
-
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-        some = [i for i, t in enumerate(texts) if _LETTER.search(t)] if self.labels else []
+        self.exponent, self.factor = 0.5, 1.0
+        self.mean, self.spread = np.zeros((len(labels), len(SNIPPETS))), np.full((len(labels), len(SNIPPETS)), np.inf)
+
+    def likelihoods(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihoods an n-gram, texts x languages, and the texts' n-grams."""
+        h, starts = hashed_ngrams(texts)
+        n = np.add.reduceat(h < BUCKETS, starts, dtype=np.int64)
+        return np.stack([np.add.reduceat(row[h], starts, dtype=np.float64) for row in self.logs], axis=1) / n[:, None], n
+
+    def predict(self, texts: list[str]) -> list[tuple[str, float, float]]:
+        """Label, score and ``typical`` of each text."""
+        out: list[tuple[str, float, float]] = [(UNKNOWN, 0.0, 0.0)] * len(texts)
+        some = [i for i, t in enumerate(texts) if has_letter(t)] if self.labels else []
         if some:
-            h, starts = hashed_ngrams([texts[i] for i in some])
-            scores = np.stack([np.add.reduceat(row[h], starts, dtype=np.float64) for row in self.logs], axis=1)
-            best = scores.argmax(axis=1)
-            share = 1 / np.exp(scores - scores.max(axis=1, keepdims=True)).sum(axis=1)
-            for i, k, p in zip(some, best, share, strict=True):
-                out[i] = (self.labels[k], float(p))
+            each, n = self.likelihoods([texts[i] for i in some])
+            best = each.argmax(axis=1)
+            top = each[np.arange(len(best)), best]
+            share = 1 / np.exp((each - top[:, None]) * (self.factor * n**self.exponent)[:, None]).sum(axis=1)
+            size = np.searchsorted(SNIPPETS, [len(texts[i]) for i in some], side="right") - 1
+            size = np.maximum(size, 0)
+            typical = 1 / (1 + np.exp(np.clip(-(top - self.mean[best, size]) / self.spread[best, size] - FAR, -50, 50)))
+            for i, k, p, t in zip(some, best, share, typical, strict=True):
+                out[i] = (self.labels[k], float(p * t), float(t))
         return out
 
 
+def remainder(doc_id: Column) -> Column:
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4))
+
+
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == HELD_OUT
+    return remainder(doc_id) == HELD_OUT
+
+
+def snippets(text: str) -> list[tuple[int, str]]:
+    """Of each length that the text reaches one piece with a letter, from the text's middle; (place in SNIPPETS, piece)."""
+    out = []
+    for i, n in enumerate(SNIPPETS):
+        at = (len(text) - n) // 2
+        if at >= 0 and has_letter(piece := text[at : at + n]):
+            out.append((i, piece))
+    return out
+
+
+def _calibrated(model: Model, rows: DataFrame) -> dict[int, float]:
+    """Sums over the snippets of (text, lang): the log loss by exponent and factor, then count, sum and sum of squares by language and length."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    n_loss, n_sizes = len(EXPONENTS) * len(FACTORS), len(SNIPPETS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        at = {lang: i for i, lang in enumerate(own.labels)}
+        loss, sums = np.zeros((len(EXPONENTS), len(FACTORS))), np.zeros((len(at), n_sizes, 3))
+        for whole in batches:
+            for b in in_slices(whole, 256, ROOM):
+                got = [(at[lang], i, piece) for t, lang in zip(texts_of(b), b.column("lang").to_pylist(), strict=True) if lang in at for i, piece in snippets(t)]
+                if not got:
+                    continue
+                lang, size = np.array([g[0] for g in got]), np.array([g[1] for g in got])
+                each, n = own.likelihoods([g[2] for g in got])
+                true = each[np.arange(len(got)), lang]
+                for i, e in enumerate(EXPONENTS):
+                    for j, f in enumerate(FACTORS):
+                        s = (each - true[:, None]) * (f * n**e)[:, None]
+                        most = s.max(axis=1)
+                        loss[i, j] += (most + np.log(np.exp(s - most[:, None]).sum(axis=1))).sum()
+                for p in range(3):
+                    np.add.at(sums, (lang, size, p), true**p)
+        flat = np.concatenate([loss.reshape(-1), sums.reshape(-1)])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(flat)], names=["at", "value"])
+
+    summed = rows.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+    assert len(summed) in (0, n_loss + len(model.labels) * n_sizes * 3)
+    return {r["at"]: r["value"] for r in summed}
 
 
 def train(labelled: DataFrame) -> Model:
-    """From all rows of (text, lang) with a label."""
-    rows = labelled.where(F.col("lang").isNotNull()).select("text", "lang").mapInArrow(_counts, "lang string, counts binary")
+    """From all rows of (doc_id, text, lang) with a label."""
+    lean(labelled.sparkSession)
+    rows = labelled.where(F.col("lang").isNotNull()).select("text", "lang", (remainder(F.col("doc_id")) == CALIBRATE).alias("back"))
+    most = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()]
+    if len(most) > MAX_LANGUAGES:
+        rows = rows.where(F.col("lang").isin(most[:MAX_LANGUAGES]))
     # a partial vector a task and language, then one a language
-    salted = rows.groupBy("lang", (F.spark_partition_id() % 16).alias("salt")).applyInArrow(_merged, "lang string, counts binary")
-    merged = sorted((r["lang"], bytes(r["counts"])) for r in salted.groupBy("lang").applyInArrow(_merged, "lang string, counts binary").collect())
-    if len(merged) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    counts = np.stack([np.frombuffer(c, "<i8") for _, c in merged]) if merged else np.zeros((0, BUCKETS))
-    return Model([lang for lang, _ in merged], counts)
+    counted = rows.mapInArrow(_counts, "lang string, back boolean, counts binary")
+    salted = counted.groupBy("lang", "back", (F.spark_partition_id() % 16).alias("salt")).applyInArrow(_merged, "lang string, back boolean, counts binary")
+    merged = salted.groupBy("lang", "back").applyInArrow(_merged, "lang string, back boolean, counts binary").collect()
+    of = {(r["lang"], r["back"]): np.frombuffer(bytes(r["counts"]), "<i8") for r in merged}
+    labels, none = sorted({lang for lang, _ in of}), np.zeros(BUCKETS, np.int64)
+    front = np.array([of.get((lang, False), none) for lang in labels]).reshape(-1, BUCKETS)
+    model = Model(labels, front + np.array([of.get((lang, True), none) for lang in labels]).reshape(-1, BUCKETS))
+    if labels:
+        got = _calibrated(Model(labels, front), rows.where("back").select("text", "lang"))
+        if got:
+            flat = np.array([got[i] for i in range(len(got))])
+            n = len(EXPONENTS) * len(FACTORS)
+            sums = flat[n:].reshape(len(labels), len(SNIPPETS), 3)
+            if sums[:, :, 0].sum():
+                best = int(flat[:n].argmin())
+                model.exponent, model.factor = EXPONENTS[best // len(FACTORS)], FACTORS[best % len(FACTORS)]
+            count = np.maximum(sums[:, :, 0], 1)
+            model.mean = sums[:, :, 1] / count
+            spread = np.sqrt(np.maximum(sums[:, :, 2] / count - model.mean**2, 0))
+            # of under 30 snippets no spread is taken, and all such texts are typical
+            model.spread = np.where(sums[:, :, 0] >= 30, np.maximum(spread, 1e-3), np.inf)
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score."""
+    """``docs`` with lang_pred, score and typical."""
+    lean(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    own = ("lang_pred", "score", "typical")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in in_slices(whole, 256, ROOM):
                 got = shared.value.predict(texts_of(b))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), *(pa.array([g[i] for g in got], pa.float64()) for i in (1, 2))], names=[*b.schema.names, *own])
+
+    docs = docs.drop(*own)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(own[0], T.StringType()), *(T.StructField(c, T.DoubleType()) for c in own[1:])]))
+
 
-    docs = docs.drop("lang_pred", "score")
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+def accepted() -> Column:
+    """Of ``predict``'s columns: a language was told, and the text is one that it makes."""
+    return (F.col("lang_pred") != UNKNOWN) & (F.col("typical") >= LEAST_TYPICAL)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,16 +10,17 @@ length and bucket and a window within each, so that a frequent length is no sing
 up their run.
 
 Texts are tokenized by distinct words: the tokenizer's pre-tokenizer drops white space and its
-patterns don't reach across it, so each distinct run between spaces and line breaks is encoded once by
-the library and its ids are joined back by position.
+patterns don't reach across it, so each distinct run between spaces and line breaks is encoded by
+the library when a worker meets it first, and its ids are joined back by position.
 
-Cases: a null text is empty and has the end id alone. Repeated rows are packed each; among equal
-(doc_id, piece) the order is any. An empty table gives no rows. Extra columns are ignored.
+Cases: a null text is empty and has the end id alone; a null id stays null. Very long texts are cut into
+pieces and never held but for themselves. Repeated rows are packed each; among equal (doc_id, piece) and
+among pieces of one length the order is any. An empty table gives no rows. Extra columns are ignored by
+``token_pieces`` and kept by ``pack``, whose own names they may not have.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -28,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, in_slices, table, texts_of
+from corpusloom.llm.chunks import ChunkTable, hashes
+from corpusloom.llm.common import cut, in_slices, lean, table
+from corpusloom.llm.shingles import bytes_of
 
 CAPACITY = 4096
 END_ID = 1
-#: Words that a Python worker keeps, of some 300 bytes each.
-TABLE_ROWS = 400_000
-#: Runs that are looked up in an array sent with the tasks; more are joined.
-INLINE_RUNS = 500_000
 RANK_BUCKETS = 64
+#: Bytes of text whose words are looked up at once.
+ROOM = 1 << 19
 
 
 def public_tokenizer() -> str:
@@ -45,101 +46,109 @@ def public_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Punctuation that ends a Latin word is a token by itself, so the word serves with and without it, and its lower
-#: case for all its cases. İ is left out, as its lower case ends in a mark; beyond Latin, case stays the library's work.
-_ENDS = re.compile("(?<=[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])([.,!?;:%*#$&]+)(?=[ \\n]|$)")
-_NOT_LATIN = re.compile("[\u0130\u0250-\U0010ffff]")
 #: Words of lower code points are encoded many at once, side by side.
 _PLAIN, TOGETHER = "\u0250", 1000
+_BREAK = np.zeros(256, bool)
+_BREAK[[10, 32]] = True
+#: Punctuation that ends a word is a token by itself after one of these, so the word serves with and without it.
+_ENDING, _BEFORE = np.zeros(256, bool), np.zeros(256, bool)
+_ENDING[list(b".,!?;:%*#$&")] = True
+_BEFORE[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 class WordTokens:
-    """Ids of texts as little-endian bytes, by a table of distinct words."""
+    """Ids of texts by a table of distinct words."""
 
-    def __init__(self, file: str) -> None:
+    def __init__(self, file: str, end_id: int = END_ID) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.table: dict[str, bytes] = {}
+        self.end = np.array([end_id], dtype="<u4")
+        self.table = ChunkTable(self._made, ["<u4"])
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.table) + len(words) > TABLE_ROWS:
-            self.table.clear()
-        plain = [w for w in words if not w or max(w) < _PLAIN]
+    def _made(self, words: list[bytes]) -> list[tuple[np.ndarray]]:
+        texts = [w.decode() for w in words]
+        out: dict[int, np.ndarray] = {}
+        plain = [i for i, w in enumerate(texts) if w and max(w) < _PLAIN]
         for at in range(0, len(plain), TOGETHER):
-            self._together(plain[at : at + TOGETHER])
-        for w in words:
-            if w not in self.table:
-                self.table[w] = self._alone(w)
+            some = plain[at : at + TOGETHER]
+            out |= zip(some, self._together([texts[i] for i in some]), strict=True)
+        return [(out[i] if i in out else np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4"),) for i, w in enumerate(texts)]
 
-    def _together(self, words: list[str]) -> None:
+    def _together(self, words: list[str]) -> list[np.ndarray]:
         """The words as one text; a token belongs to the word where it begins."""
         e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         ends = np.cumsum([len(w) + 1 for w in words])
-        ids = np.array(e.ids, dtype="<u4").tobytes()
-        last = 4 * np.searchsorted(np.array([o[0] for o in e.offsets], dtype=np.int64), ends)
-        begin = 0
-        for w, end in zip(words, last.tolist(), strict=True):
-            self.table[w] = ids[begin:end]
-            begin = end
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [_ENDS.sub(r" \1", t if _NOT_LATIN.search(t) else t.lower()).replace("\n", " ").split(" ") for t in texts]
-        known = self.table
-        if new := set().union(*parts) - known.keys():
-            self.learn(new)
-        out = []
-        for p in parts:
-            try:
-                out.append(b"".join(map(known.__getitem__, p)))
-            except KeyError:  # the table was emptied
-                self.learn(set(p) - known.keys())
-                out.append(b"".join(known[w] if w in known else self._alone(w) for w in p))
-        return out
-
-    def _alone(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-
-_made: dict[str, WordTokens] = {}
-
-
-def word_tokens(file: str) -> WordTokens:
-    if file not in _made:
+        at = np.searchsorted(np.array([o[0] for o in e.offsets], dtype=np.int64), ends)
+        return np.split(np.array(e.ids, dtype="<u4"), at[:-1])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, each with the end id, and where each text begins, with the total."""
+        data, begins = bytes_of(texts)
+        # the tokenizer lower-cases, so a word serves for all its cases in A-Z; its special tokens know theirs
+        if b"<|" not in data.tobytes():
+            data = _LOWER[data]
+        blank = _BREAK[data]
+        first = np.empty(len(data) + 1, bool)
+        first[0] = True
+        first[1:-1] = blank[:-1]
+        first[begins] = True
+        if len(data):
+            # a word's last byte that isn't ending punctuation; what follows it is a word of its own
+            stem = np.maximum.accumulate(np.where(_ENDING[data], -1, np.arange(len(data))))
+            last = np.flatnonzero(~blank & np.append(blank[1:], True) | ~blank & first[1:])
+            stem = stem[last]
+            first[stem[(stem >= 0) & (stem < last) & _BEFORE[data[stem]]] + 1] = True
+        at = np.flatnonzero(first[:-1] & ~blank)
+        entries = self.table.entries(data, at, *hashes(data, at, blank), cut=b" \n")
+        ids, to = self.table.joined(0, entries)
+        ends = to[np.searchsorted(at, begins[1:])]
+        return np.insert(ids, ends, self.end), np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
+
+
+_made: dict[tuple[str, int], WordTokens] = {}
+
+
+def word_tokens(file: str, end_id: int) -> WordTokens:
+    """One a worker."""
+    if (file, end_id) not in _made:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
-        _made[file] = WordTokens(file)
-    return _made[file]
+        _made[file, end_id] = WordTokens(file, end_id)
+    return _made[file, end_id]
 
 
 PIECE = "doc_id long, piece int, start long, length long"
 
 
 def _pieces(file: str, capacity: int, end_id: int, keep_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in in_slices(whole):
-                doc, piece, start, length, ids = [], [], [], [], []
-                for d, encoded in zip(b.column("doc_id").to_pylist(), word_tokens(file).encode(texts_of(b)), strict=True):
-                    encoded += end
-                    for i, at in enumerate(range(0, len(encoded), 4 * capacity)):
-                        own = encoded[at : at + 4 * capacity]
-                        doc.append(d)
-                        piece.append(i)
-                        start.append(at // 4)
-                        length.append(len(own) // 4)
-                        ids.append(np.frombuffer(own, "<u4").astype(np.int32) if keep_ids else zlib.crc32(own))
-                last = pa.array(ids, pa.list_(pa.int32()) if keep_ids else pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), last], names=["doc_id", "piece", "start", "length", "ids" if keep_ids else "ids_crc32"])
+            for b in in_slices(whole, 512, ROOM):
+                ids, begins = word_tokens(file, end_id).encode(b.column("text"))
+                size = np.diff(begins)
+                count = -(-size // capacity)
+                doc = np.repeat(np.arange(len(size)), count)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * capacity
+                length = np.minimum(size[doc] - start, capacity)
+                at = np.append(begins[doc] + start, len(ids)).astype(np.int32)
+                if keep_ids:
+                    last = pa.ListArray.from_arrays(pa.array(at), pa.array(ids.view(np.int32)))
+                else:
+                    flat = memoryview(ids).cast("B")
+                    last = pa.array([zlib.crc32(flat[4 * x : 4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), last], names=["doc_id", "piece", "start", "length", "ids" if keep_ids else "ids_crc32"])
 
     return run
 
 
 def token_pieces(docs: DataFrame, file: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
     """doc_id, piece, start, length and ``ids`` (array), or ``ids_crc32`` in their place."""
+    lean(docs.sparkSession)
     last = "ids array<int>" if keep_ids else "ids_crc32 long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(file, capacity, end_id, keep_ids), f"{PIECE}, {last}")
 
@@ -220,19 +229,16 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, i
     return runs
 
 
-def _rows_of(df: DataFrame) -> list:
-    return df.collect()
-
-
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (any columns, with doc_id, piece and length from 1 to capacity) with sequence_id and offset.
 
-    ``pieces`` should be a written table: it is read for the counts and again for the placing.
+    ``pieces`` should be a written table: it is read for the counts and again for the placing. Runs are sent with the
+    tasks: they are at most the pieces of one length and bin, and level off with the input (11,000 at 20 million pieces).
     """
     spark = pieces.sparkSession
     bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)).cast("int")
     counted = pieces.groupBy(F.col("length"), bucket.alias("_bucket")).count()
-    counts = sorted((r["length"], r["_bucket"], r["count"]) for r in _rows_of(counted))  # capacity x RANK_BUCKETS rows at most
+    counts = sorted((r["length"], r["_bucket"], r["count"]) for r in counted.collect())  # capacity x RANK_BUCKETS rows at most
     histogram: dict[int, int] = {}
     before = []
     for length, b, n in counts:
@@ -244,14 +250,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # capacity x RANK_BUCKETS rows at most
     ranked = pieces.withColumn("_bucket", bucket).withColumn("_row", F.row_number().over(ranks) - 1).join(F.broadcast(begin), ["length", "_bucket"]).withColumn("_rank", F.col("_row") + F.col("_before"))
     ranked = ranked.drop("_bucket", "_row", "_before")
-    if len(runs) <= INLINE_RUNS:
-        placed = _looked_up(ranked, runs)
-    else:
-        ends = [runs[i + 1][1] if i + 1 < len(runs) and runs[i + 1][0] == r[0] else histogram[r[0]] for i, r in enumerate(runs)]
-        frame = spark.createDataFrame([(*r, e) for r, e in zip(runs, ends, strict=True)], "length long, _from long, _each long, _bin long, offset long, _to long")
-        placed = ranked.join(frame, (ranked["length"] == frame["length"]) & (ranked["_rank"] >= frame["_from"]) & (ranked["_rank"] < frame["_to"])).drop(frame["length"])
-        n = F.col("_rank") - F.col("_from")
-        placed = placed.withColumn("sequence_id", F.col("_bin") + F.floor(n / F.col("_each"))).withColumn("offset", F.col("offset") + n % F.col("_each") * F.col("length"))
+    placed = _looked_up(ranked, runs)
     return placed.select(*pieces.columns, "sequence_id", "offset")
 
 
