@@ -3,11 +3,15 @@
 Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet and read as the next
 one's docs. All but the last return the columns of ``documents``.
 
-language_id: documents whose language the classifier, trained on the stage's own labelled
-documents, can't tell go: no letters, or a posterior below LEAST_SCORE.
-near_duplicates: of each component of near duplicates the document with the smallest id stays.
+language_id: documents that the classifier, trained on the stage's own labelled documents, rejects go:
+those without letters, and those far from all that any language makes. All texts of one kind are judged alike.
+near_duplicates: of each component of near duplicates one row stays, that with the smallest id.
 secret_scan: spans of secrets in the texts are replaced by their kind; all documents stay.
-packing: token pieces with their place in sequences of 4096 tokens.
+packing: token pieces, their ids and their place in sequences of 4096 tokens.
+
+Cases: a null text has no letters and goes in the first stage; an empty one too. Documents with null ids stay as
+others do. Repeated rows and repeated texts go in the second stage, ties to the smaller id. Texts of any
+length are taken whole. An empty table passes all stages, without rows. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -17,25 +21,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, table, without
-from corpusloom.llm.jaccard_join import near_duplicates
-from corpusloom.llm.language_id import UNKNOWN, held_out, predict, train
+from corpusloom.llm.common import cut, table
+from corpusloom.llm.jaccard_join import deduplicated
+from corpusloom.llm.language_id import accepted, held_out, predict, train
 from corpusloom.llm.packing import pack, public_tokenizer, token_pieces
 from corpusloom.llm.secret_scan import scan
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs.where(~held_out(F.col("doc_id"))))
-    return predict(docs.select(*COLUMNS), model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return predict(docs.select(*COLUMNS), model).where(accepted()).select(*COLUMNS)
 
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = near_duplicates(docs)
-    gone = cut(classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
-    return without(docs.select(*COLUMNS), "doc_id", gone)
+    return deduplicated(docs.select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(cut(token_pieces(docs, public_tokenizer(), keep_ids=False), "pieces"))
+    return pack(cut(token_pieces(docs, public_tokenizer()), "pieces"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
