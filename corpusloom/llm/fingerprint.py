@@ -13,8 +13,9 @@ Trees are compared from the root down: equal branches end the descent, differing
 and the differing clauses locate the edit (``edits``). Likeness is the Dice coefficient of the
 two multisets of clauses: 1 for equal texts.
 
-Cases: a null text is the empty text, of one empty tree. Two empty texts have likeness 1. Rows
-with equal ids are ordered by text, null ids come lowest. A single document is its own next one.
+Cases: a null text is the empty text, of one empty tree. Two empty texts have likeness 1. Very long texts
+are taken whole, in time linear in them. Rows with equal ids are ordered by text (and lie in one bucket, as ids are
+expected to be unique), null ids come lowest. A single document is its own next one. An empty table gives no rows.
 Extra columns are ignored.
 """
 
@@ -25,19 +26,24 @@ from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import in_slices, partitions, table
+from corpusloom.llm.common import in_slices, lean, partitions, table
 
 CLAUSE_WORDS = 16
 #: Buckets of ids for each shuffle partition, so that a few long texts even out.
 BUCKETS_PER_PARTITION = 4
+#: Bytes of text that are taken at once.
+ROOM = 1 << 20
 
 _SECTION = re.compile(r"(?<=\n\n)(?!\n)")
 _CLAUSE = re.compile(r"[^.!?,;:]+[.!?,;:\s]*|[.!?,;:\s]+")
-_WORDS = re.compile(r"(?:\S*\s+){%d}|.+" % CLAUSE_WORDS, re.S)
+#: Possessive, so that a run is gone over once.
+_WORDS = re.compile(r"\s*+(?:\S++\s++){%d}|.++" % CLAUSE_WORDS, re.S)
 
 
 def clauses(paragraph: str) -> list[str]:
@@ -118,7 +124,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ascend by (bucket, id, text) with each bucket's forerunner first; a row's next document, by descending id, is the one before it."""
     bucket, before = None, None
     for whole in batches:
-        for batch in in_slices(whole, 256):
+        for batch in in_slices(whole, 256, ROOM):
             out = []
             texts = batch.column("text").to_pylist()
             for b, ghost, doc, text in zip(batch.column("_bucket").to_pylist(), batch.column("_ghost").to_pylist(), batch.column("doc_id").to_pylist(), texts, strict=True):
@@ -141,26 +147,44 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_next(docs: DataFrame) -> DataFrame:
     """The documents in buckets of neighbouring ids, each led by a copy of the document before it.
 
-    Bucket bounds are quantiles of the ids (as many as the buckets, whatever the input). One
-    document a bucket, its highest, is repeated ahead of the bucket above, the highest of all
+    Bucket bounds are quantiles of the ids (as many as the buckets, whatever the input), sent to the tasks as an
+    array. One document a bucket, its highest, is repeated ahead of the bucket above, the highest of all
     ahead of the lowest; so a single shuffle of the texts serves, and no window runs over all rows.
     """
     spark = docs.sparkSession
+    lean(spark)
     n = BUCKETS_PER_PARTITION * partitions(spark)
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     marks = thin.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n).alias("q")).first()["q"] or []
-    marks = sorted(set(marks))
-    bounds = F.array(*[F.lit(m) for m in marks]).cast("array<long>")
-    bucket = F.coalesce(F.size(F.filter(bounds, lambda m: m < F.col("doc_id"))), F.lit(0))
-    tops = sorted((r["b"], r["top"]) for r in thin.groupBy(F.when(F.col("doc_id").isNull(), 0).otherwise(bucket).alias("b")).agg(F.max("doc_id").alias("top")).collect())
-    # at most one row a bucket: which bucket each bucket's highest document also goes to
-    leads = [(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops) if top is not None]
-    to = F.create_map(*[F.lit(x) for pair in leads for x in pair]) if leads else F.create_map().cast("map<long,int>")
-    own = F.struct(F.when(F.col("doc_id").isNull(), 0).otherwise(bucket).alias("_bucket"), F.lit(False).alias("_ghost"))
-    lead = F.struct(to[F.col("doc_id")].cast("int").alias("_bucket"), F.lit(True).alias("_ghost"))
-    copies = F.when(to[F.col("doc_id")].isNotNull(), F.array(own, lead)).otherwise(F.array(own))
+    bounds = np.array(sorted(set(marks)), np.int64)
+
+    @F.pandas_udf("int")
+    def bucket(ids: pd.Series) -> pd.Series:
+        """Bounds below the id; null ids are in the first bucket."""
+        known = ids.notna().to_numpy()
+        return pd.Series(np.where(known, np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), side="left"), 0))
+
+    own = thin.withColumn("b", bucket("doc_id"))
+    tops = sorted((r["b"], r["top"]) for r in own.groupBy("b").agg(F.max("doc_id").alias("top")).collect())  # a row a bucket
+    # which bucket each bucket's highest document also goes to
+    leads = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops) if top is not None}
+    lead_ids = np.array(sorted(leads), np.int64)
+    lead_to = np.array([leads[x] for x in lead_ids.tolist()], np.int64)
+
+    @F.pandas_udf("int")
+    def lead(ids: pd.Series) -> pd.Series:
+        """-1 for a document that leads no bucket."""
+        if not len(lead_ids):
+            return pd.Series(np.full(len(ids), -1))
+        some = ids.fillna(0).to_numpy(np.int64)
+        at = np.minimum(np.searchsorted(lead_ids, some), len(lead_ids) - 1)
+        return pd.Series(np.where(ids.notna().to_numpy() & (lead_ids[at] == some), lead_to[at], -1))
+
+    to = F.array(F.struct(F.col("_own").alias("_bucket"), F.lit(False).alias("_ghost")))
+    copies = F.when(F.col("_lead") < 0, to).otherwise(F.concat(to, F.array(F.struct(F.col("_lead").alias("_bucket"), F.lit(True).alias("_ghost")))))
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+        .withColumns({"_own": bucket("doc_id"), "_lead": lead("doc_id")})
         .withColumn("_to", F.explode(copies))
         .select("doc_id", "text", "_to._bucket", "_to._ghost")
         .repartition(partitions(spark), "_bucket")

@@ -46,8 +46,8 @@ PERCENT = 80
 #: Counters of the frequency table, and the parts in which they are summed.
 COUNTERS, COUNTER_PARTS = 1 << 23, 64
 SIGNATURE_BYTES = 256
-#: Rows of a block, and log2 of it.
-BLOCK, BLOCK_CLASS = 2048, 11
+#: Rows of a sub-tile of a hot key, and log2 of it; rows of a block within a torn tile.
+BLOCK, BLOCK_CLASS, PAIR_BLOCK = 2048, 11, 512
 #: Bytes and rows of texts whose sets are held at once.
 ROOM, SLICE = 1 << 19, 256
 #: For the rounding of margins in doubles; what passes is intersected exactly.
@@ -337,7 +337,7 @@ def _torn(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _in_tiles(labelled: DataFrame, tiles: DataFrame, bits: DataFrame, percent: int, best: bool) -> DataFrame:
     """Candidate pairs (a, b) in the tiles that hold several components."""
     rows = labelled.join(tiles, "tile").join(bits.select(F.col("id").alias("doc"), "bits"), "doc")
-    minors, majors = F.ceil((F.col("rows") - F.col("top")) / BLOCK).cast("int"), F.ceil(F.col("top") / BLOCK).cast("int")
+    minors, majors = F.ceil((F.col("rows") - F.col("top")) / PAIR_BLOCK).cast("int"), F.ceil(F.col("top") / PAIR_BLOCK).cast("int")
     is_major = F.col("label") == F.col("major")
     block = F.when(is_major, minors + F.pmod(F.xxhash64("doc"), majors)).otherwise(F.pmod(F.xxhash64("doc"), minors)).cast("int")
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_major, minors).otherwise(minors + majors) - 1)))

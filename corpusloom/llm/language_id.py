@@ -43,6 +43,8 @@ HELD_OUT, CALIBRATE = 2, 1
 SNIPPETS = (4, 12, 40, 160, 640)
 EXPONENTS, FACTORS, FAR = (0.0, 0.25, 0.5, 0.75, 1.0), tuple(2.0**i for i in range(-6, 7)), 12.0
 LEAST_TYPICAL = 0.5
+#: Snippets of a language and length from which a mean and a spread are taken.
+FEW = 10
 #: Languages that a training task holds before it passes them on.
 HELD = 64
 #: Bytes of text whose n-grams are held at once; a longer text is one part.
@@ -219,8 +221,11 @@ def train(labelled: DataFrame) -> Model:
             count = np.maximum(sums[:, :, 0], 1)
             model.mean = sums[:, :, 1] / count
             spread = np.sqrt(np.maximum(sums[:, :, 2] / count - model.mean**2, 0))
-            # of under 30 snippets no spread is taken, and all such texts are typical
-            model.spread = np.where(sums[:, :, 0] >= 30, np.maximum(spread, 1e-3), np.inf)
+            # where there are few snippets the next shorter ones serve, which spread wider; without any all texts are typical
+            model.spread = np.where(sums[:, :, 0] >= FEW, np.maximum(spread, 1e-3), np.inf)
+            for i in range(1, len(SNIPPETS)):
+                few = sums[:, i, 0] < FEW
+                model.mean[few, i], model.spread[few, i] = model.mean[few, i - 1], model.spread[few, i - 1]
     return model
 
 

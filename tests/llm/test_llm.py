@@ -125,9 +125,10 @@ def test_warc_round_trip(spark):
     for i, _, html in rows:
         body = (html or "").encode()
         assert bytes(got[i].payload) == body
-        assert got[i].named_digest == base64.b32encode(hashlib.sha1(body).digest()).decode()
+        assert got[i].payload_digest == base64.b32encode(hashlib.sha1(body).digest()).decode()
     assert (got[1].record_type, got[1].refers_to, got[2].record_type, got[3].refers_to) == ("revisit", 2, "response", 4)
     assert bytes(got[5].record).endswith("\r\n\r\né\r\n\r\n".encode())
+    assert [got[i].url for i in range(1, 6)] == [r[1] for r in rows]
 
 
 def test_pieces(spark, texts):
