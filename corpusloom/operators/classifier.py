@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, NGram, Normalizer, RegexTokenizer, SQLTransformer
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST_ROWS, EXCLUDE_FROM = 5, 0.90
+#: Fixed value: the code of what the classifier excludes.
+CODE = "SVM_FAST"
 FEATURES = 1 << 14
 
 
@@ -41,11 +44,27 @@ def train(labelled: DataFrame) -> PipelineModel | None:
         Normalizer(inputCol="_weights", outputCol="features"),
         LogisticRegression(regParam=1e-4, maxIter=20),
     ]
-    return Pipeline(stages=stages).fit(rows)
+    *features, learner = stages
+    made = Pipeline(stages=features).fit(rows)
+    # each of the learner's passes reads the features, not the texts
+    kept = made.transform(rows).select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return PipelineModel(stages=[*made.stages, learner.fit(kept)])
+    finally:
+        kept.unpersist()
 
 
-def score(papers: DataFrame, model: PipelineModel) -> DataFrame:
-    """``papers`` with p_no, and excluded with a rationale from EXCLUDE_FROM on."""
-    scored = model.transform(papers.withColumn("_text", text_of())).withColumn("p_no", vector_to_array("probability")[0])
+def score(papers: DataFrame, model: PipelineModel | None) -> DataFrame:
+    """``papers`` with p_no, auto_excluded from EXCLUDE_FROM on, and the decision that follows: status, codes and rationale.
+
+    Without a model nothing is excluded and p_no is null.
+    """
+    if model is None:
+        scored = papers.withColumn("p_no", F.lit(None).cast("double"))
+    else:
+        scored = model.transform(papers.withColumn("_text", text_of())).withColumn("p_no", vector_to_array("probability")[0])
     out = F.coalesce(F.col("p_no") >= EXCLUDE_FROM, F.lit(False))
-    return scored.select(*papers.columns, "p_no", out.alias("auto_excluded"), F.when(out, F.format_string("P(NO) = %.2f", "p_no")).alias("rationale"))
+    return scored.select(
+        *papers.columns, "p_no", out.alias("auto_excluded"), F.when(out, "EXCLUDED").alias("auto_status"),
+        F.when(out, F.array(F.lit(CODE))).alias("auto_codes"), F.when(out, F.format_string("P(NO) = %.2f", "p_no")).alias("rationale"),
+    )

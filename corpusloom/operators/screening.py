@@ -60,3 +60,17 @@ def mark_duplicates(papers: DataFrame, existing: DataFrame | None = None) -> Dat
 def outcome(papers: DataFrame, order: list[str]) -> DataFrame:
     """Each paper's code: EC6, else the first rule that fits, else null (to be scored)."""
     return mark_duplicates(papers).withColumn("code", F.when(F.col("is_duplicate"), "EC6").otherwise(first_rule(order)))
+
+
+def resumed(papers: DataFrame, existing: DataFrame, order: list[str], target: str = "ALL", sample: DataFrame | None = None) -> DataFrame:
+    """Papers that a run takes up, with their code: EC6, the first rule that fits, or null (to be scored).
+
+    ``existing`` has paper_id and status. Papers with a definitive decision are skipped but keep later ones of
+    their title from being scored; those that need review are taken up again. ``sample`` (paper_id) restricts a calibration round.
+    """
+    if target != "ALL":
+        papers = papers.where(F.col("source_type") == target)
+    if sample is not None:
+        papers = papers.join(sample.select(F.col("paper_id").alias("id")), "id", "left_semi")
+    marked = mark_duplicates(papers, existing).where(F.col("status").isNull() | (F.col("status") == "NEEDS_REVIEW"))
+    return marked.withColumn("code", F.when(F.col("is_duplicate"), "EC6").otherwise(first_rule(order)))

@@ -12,12 +12,15 @@ from corpusloom.operators import screening as S
 from corpusloom.operators import store
 
 
+TITLE = "id string, title string, at long"
+
+
 def decide_batch(papers: DataFrame, order: list[str], scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Events of a batch: rules first; what no rule decides goes to the scorer, or needs review without one.
 
-    A scorer takes papers and returns paper_id, status, codes, confidence.
+    A paper that has a ``code`` already keeps it. A scorer takes papers and returns paper_id, status, codes, confidence.
     """
-    coded = papers.withColumn("code", S.first_rule(order))
+    coded = papers if "code" in papers.columns else papers.withColumn("code", S.first_rule(order))
     by_rule = coded.where("code is not null").select(F.col("id").alias("paper_id"), F.lit("EXCLUDED").alias("status"), F.array("code").alias("codes"), F.lit(1.0).alias("confidence"))
     rest = coded.where("code is null").drop("code")
     if scorer is None:
@@ -37,17 +40,37 @@ def events_of(decided: DataFrame, batch: int) -> DataFrame:
 
 
 def screen_stream(papers: DataFrame, log_path: str, checkpoint: str, order: list[str], scorer: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Decide what arrives. Each batch is written to its own folder and replaced when it is retried, so none counts twice."""
+    """Decide what arrives. Each batch is written to its own folder and replaced when it is retried, so none counts twice.
+
+    Papers that earlier batches decided for good are skipped, and a title that an earlier batch or paper registered is a
+    duplicate: titles are kept beside the log, by batch.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        decided = decide_batch(batch.dropDuplicates(["id"]), order, scorer)
-        events_of(decided, number).write.mode("overwrite").parquet(f"{log_path}/batch={number}")
+        spark = batch.sparkSession
+        seen = lambda kind, schema: spark.read.schema(f"{schema}, batch int").parquet(f"{log_path}/{kind}").where(F.col("batch") < number)
+        place = F.struct(F.lit(number).alias("batch"), F.col("ordinal").alias("at"))
+        if "ordinal" not in batch.columns:  # any order that a retry has too
+            batch = batch.withColumn("ordinal", F.xxhash64("id"))
+        now = batch.dropDuplicates(["id"]).withColumn("ordinal", place)
+        if number:
+            current = store.state(seen("log", store.EVENT)).select("paper_id", "status")
+            titles = seen("titles", TITLE).select(F.struct("batch", F.col("at").alias("at")).alias("ordinal"), "id", "title")
+            earlier = titles.groupBy("id").agg(F.min("ordinal").alias("ordinal"), F.min_by("title", "ordinal").alias("title")).join(now.select("id"), "id", "left_anti")
+            both = now.withColumn("_now", F.lit(True)).unionByName(earlier.withColumn("_now", F.lit(False)), allowMissingColumns=True)
+            taken = S.resumed(both, current, order).where("_now").drop("_now", "status", "is_duplicate")
+        else:
+            none = spark.createDataFrame([], "paper_id string, status string")
+            taken = S.resumed(now, none, order).drop("status", "is_duplicate")
+        now.select("id", "title", F.col("ordinal.at").alias("at")).write.mode("overwrite").parquet(f"{log_path}/titles/batch={number}")
+        decided = decide_batch(taken.withColumn("ordinal", F.col("ordinal.at")), order, scorer)
+        events_of(decided, number).write.mode("overwrite").parquet(f"{log_path}/log/batch={number}")
 
     return papers.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_log(spark: SparkSession, log_path: str) -> DataFrame:
-    return spark.read.schema(store.EVENT).parquet(f"{log_path}/batch=*")
+    return spark.read.schema(store.EVENT).parquet(f"{log_path}/log")
 
 
 def progress(decisions: DataFrame) -> DataFrame:
