@@ -311,7 +311,7 @@ def test_language_scores_by_brute_force(spark, monkeypatch):
 
 
 def test_language_tells_noise_and_spares_short_texts(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
     held = language_id.predict(docs.where(language_id.held_out(F.col("doc_id"))), model).collect()
     assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
