@@ -61,19 +61,17 @@ class ChunkTable:
         self.pools = [np.empty(1 << 12, k) for k in self.kinds]
         self.ends = [np.zeros(1, np.int64) for _ in self.kinds]
 
-    def start_with(self, rows: list[tuple[bytes, ...]]) -> None:
-        """Whenever the table is empty it has these chunks at first, whose arrays were made elsewhere."""
-        if not rows or self.first is not None:
+    def start_with(self, columns: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Whenever the table is empty it has these chunks at first; of the chunks and each pool, values on end and their sizes."""
+        (data, size), *pools = columns
+        if self.first is not None or not len(size):
             return
-        words = [r[0] for r in rows]
-        data, at = np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words[:-1])])
-        h1, h2 = hashes(data, at)
+        h1, h2 = hashes(data, np.cumsum(size) - size)
         order = np.argsort(h1, kind="stable")
-        once = np.concatenate([[True], h1[order][1:] != h1[order][:-1]])  # of one first hash the other is learned when met
-        order = order[once]
-        pools = [np.concatenate([rows[i][p + 1] for i in order.tolist()]).astype(k) for p, k in enumerate(self.kinds)]
-        ends = [np.cumsum([0, *(len(rows[i][p + 1]) for i in order.tolist())]) for p in range(len(self.kinds))]
-        self.first = (h1[order], h2[order], np.arange(len(order), dtype=np.int32), pools, ends)
+        # of two with one first hash the other is learned when it is met
+        order = order[np.concatenate([[True], h1[order][1:] != h1[order][:-1]])]
+        ends = [np.concatenate([[0], np.cumsum(n)]) for _, n in pools]
+        self.first = (h1[order], h2[order], order.astype(np.int32), [np.array(values, k) for (values, _), k in zip(pools, self.kinds, strict=True)], ends)
         self.clear()
 
     def _found(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:

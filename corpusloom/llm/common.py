@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -62,6 +63,14 @@ def lean(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
+def freed() -> None:
+    """Give back to the system what a Python worker holds no longer; for the end of a task, as workers outlive it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 #: Rows of a few numbers that one partition takes.
 PART_ROWS = 1 << 18
 

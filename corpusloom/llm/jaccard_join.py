@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, discard, in_slices, lean, parts, table, with_mark
+from corpusloom.llm.common import cut, discard, freed, in_slices, lean, parts, table, with_mark, without
 from corpusloom.llm.components import components, extended
 from corpusloom.llm.shingles import mixed, shingle_sets
 
@@ -49,7 +49,7 @@ SIGNATURE_BYTES = 256
 #: Rows of a sub-tile of a hot key, and log2 of it; rows of a block within a torn tile.
 BLOCK, BLOCK_CLASS, PAIR_BLOCK = 2048, 11, 512
 #: Bytes and rows of texts whose sets are held at once.
-ROOM, SLICE = 1 << 19, 256
+ROOM, SLICE = 1 << 18, 256
 #: For the rounding of margins in doubles; what passes is intersected exactly.
 SLACK = 1e-6
 #: Rounds of likeliest pairs at most, while tiles hold more than PER_ROW pairs a row; the last is one in which not every MANYth pair links. What they leave is for the last step.
@@ -69,6 +69,8 @@ def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     # what a task met once is no passage, and most of what fills a table too small for all shingles
     rows = [np.minimum(np.where(part == 1, 0, part), 255).astype(np.uint8).tobytes() for part in total.reshape(COUNTER_PARTS, -1)]
     yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_PARTS), pa.int32()), pa.array(rows, pa.binary())], names=["part", "counts"])
+    del total, rows
+    freed()
 
 
 def _summed(t: pa.Table) -> pa.Table:
@@ -128,6 +130,7 @@ def _prefixes(docs: DataFrame, percent: int) -> DataFrame:
                     ],
                     names=["rid", "doc_id", "_k", "_th", "n", "digest", "bits", "keys", "salts"],
                 )
+        freed()
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), *_text_key(), "text")
     return rows.mapInArrow(run, "rid long, doc_id long, _k long, _th long, n int, digest binary, bits binary, keys array<long>, salts array<long>")
@@ -222,11 +225,11 @@ def _verified(pairs: DataFrame, base: DataFrame, docs: DataFrame, percent: int)
     wanted = cut(wanted.withColumn("_tk", F.xxhash64("_k", "_th")), "wanted")
     rows = docs.where("text is not null").select(*_text_key(), "text").withColumn("_tk", F.xxhash64("_k", "_th"))
     marked = with_mark(rows, "_tk", wanted.select("_tk")).where("_marked").groupBy("_k", "_th").agg(F.first("text").alias("text"))
-    texts = cut(wanted.join(marked, ["_k", "_th"]).select("rid", "text"), "texts")
+    texts = wanted.join(marked, ["_k", "_th"]).select("rid", "text")
     x, y = (texts.select(F.col("rid").alias(c), F.col("text").alias(t)) for c, t in (("a", "x"), ("b", "y")))
     dealt = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").coalesce(parts(pairs.count(), PAIRS))
     links = cut(dealt.mapInArrow(_linked(percent), "a long, b long"), "links")
-    discard(wanted, texts)
+    discard(wanted)
     return links
 
 
@@ -348,7 +351,9 @@ def _in_tiles(labelled: DataFrame, tiles: DataFrame, bits: DataFrame, percent: i
 
 def _labels(base: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(id, label) of the classes that are linked."""
-    heads = base.join(classes.select(F.col("rep.rid").alias("rid")), "rid", "left_semi")
+    # rows that aren't their class's first are few or told by a bitmap, so keys aren't shuffled to leave them out
+    copies = cut(base.select("rid", "digest").join(classes.select("digest", "rep"), "digest").where("rid <> rep.rid").select("rid"), "copies")
+    heads = without(base.where("n > 0").select("rid", "n", "keys", "salts"), "rid", copies)
     rows = heads.select(F.col("rid").alias("doc"), "n", F.explode(F.arrays_zip("keys", "salts")).alias("t")).select(F.col("t.keys").alias("key"), F.col("t.salts").alias("salt"), "n", "doc")
     members = cut(_bands(rows, percent).distinct(), "tiles")
     bits = cut(base.select(F.col("rid").alias("id"), "n", "bits").join(members.select(F.col("doc").alias("id")).distinct(), "id", "left_semi"), "bits")
@@ -378,7 +383,7 @@ def _labels(base: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
         if not best:
             break
         best, rounds = n > 0 and MANY * found >= n, rounds + 1
-    discard(members, bits, *seen)
+    discard(members, bits, copies, *seen)
     return labels
 
 

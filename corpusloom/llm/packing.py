@@ -28,16 +28,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.chunks import ChunkTable, hashes
-from corpusloom.llm.common import cut, in_slices, lean, table
+from corpusloom.llm.common import cut, freed, in_slices, lean, table
 from corpusloom.llm.shingles import bytes_of
 
 CAPACITY = 4096
 END_ID = 1
 RANK_BUCKETS = 64
 #: Bytes of text whose words are looked up at once.
-ROOM = 1 << 19
+ROOM = 1 << 18
 
 
 def public_tokenizer() -> str:
@@ -124,7 +125,7 @@ def word_tokens(file: str, end_id: int) -> WordTokens:
 PIECE = "doc_id long, piece int, start long, length long"
 
 
-def _pieces(file: str, capacity: int, end_id: int, keep_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pieces(file: str, capacity: int, end_id: int, keep_ids: bool, id_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in in_slices(whole, 512, ROOM):
@@ -136,21 +137,29 @@ def _pieces(file: str, capacity: int, end_id: int, keep_ids: bool) -> Callable[[
                 start = piece * capacity
                 length = np.minimum(size[doc] - start, capacity)
                 at = np.append(begins[doc] + start, len(ids)).astype(np.int32)
-                if keep_ids:
+                if keep_ids and id_bytes:
+                    if len(ids) and int(ids.max()) >> 8 * id_bytes:
+                        raise ValueError(f"ids need more than {id_bytes} bytes")
+                    last = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(at * id_bytes), pa.py_buffer(ids.astype(f"<u{id_bytes}"))])
+                elif keep_ids:
                     last = pa.ListArray.from_arrays(pa.array(at), pa.array(ids.view(np.int32)))
                 else:
                     flat = memoryview(ids).cast("B")
                     last = pa.array([zlib.crc32(flat[4 * x : 4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), last], names=["doc_id", "piece", "start", "length", "ids" if keep_ids else "ids_crc32"])
+        freed()
 
     return run
 
 
-def token_pieces(docs: DataFrame, file: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length and ``ids`` (array), or ``ids_crc32`` in their place."""
+def token_pieces(docs: DataFrame, file: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True, id_bytes: int = 0) -> DataFrame:
+    """doc_id, piece, start, length and ``ids`` (array), or ``ids_crc32`` in their place.
+
+    With ``id_bytes`` ids are written as binary, little-endian numbers of so many bytes each, for shuffles; ``pack`` makes arrays of them again.
+    """
     lean(docs.sparkSession)
-    last = "ids array<int>" if keep_ids else "ids_crc32 long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(file, capacity, end_id, keep_ids), f"{PIECE}, {last}")
+    last = ("ids binary" if id_bytes else "ids array<int>") if keep_ids else "ids_crc32 long"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(file, capacity, end_id, keep_ids, id_bytes), f"{PIECE}, {last}")
 
 
 class OpenBins:
@@ -229,15 +238,16 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, i
     return runs
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, counted: DataFrame | None = None, id_bytes: int = 0) -> DataFrame:
     """``pieces`` (any columns, with doc_id, piece and length from 1 to capacity) with sequence_id and offset.
 
-    ``pieces`` should be a written table: it is read for the counts and again for the placing. Runs are sent with the
+    ``pieces`` should be a written table, as it is read for the counts and again for the placing; or ``counted`` has the same
+    rows without what is wide, and then ``pieces`` is made but once. ``id_bytes`` is that of binary ids. Runs are sent with the
     tasks: they are at most the pieces of one length and bin, and level off with the input (11,000 at 20 million pieces).
     """
     spark = pieces.sparkSession
     bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)).cast("int")
-    counted = pieces.groupBy(F.col("length"), bucket.alias("_bucket")).count()
+    counted = (pieces if counted is None else counted).groupBy(F.col("length"), bucket.alias("_bucket")).count()
     counts = sorted((r["length"], r["_bucket"], r["count"]) for r in counted.collect())  # capacity x RANK_BUCKETS rows at most
     histogram: dict[int, int] = {}
     before = []
@@ -250,24 +260,34 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # capacity x RANK_BUCKETS rows at most
     ranked = pieces.withColumn("_bucket", bucket).withColumn("_row", F.row_number().over(ranks) - 1).join(F.broadcast(begin), ["length", "_bucket"]).withColumn("_rank", F.col("_row") + F.col("_before"))
     ranked = ranked.drop("_bucket", "_row", "_before")
-    placed = _looked_up(ranked, runs)
+    placed = _looked_up(ranked, runs, id_bytes)
     return placed.select(*pieces.columns, "sequence_id", "offset")
 
 
-def _looked_up(ranked: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> DataFrame:
-    table_of = np.array(sorted(runs), dtype=np.int64).reshape(-1, 5)
-    keys = (table_of[:, 0] << 44) | table_of[:, 1]
+def _lists_of(column: pa.Array, id_bytes: int) -> pa.Array:
+    """Binary ids as arrays."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    flat = np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(f"<u{id_bytes}").astype(np.int32) if data is not None else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array((at - at[0]) // id_bytes, pa.int32()), pa.array(flat))
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def find(length, rank):  # noqa: ANN001, ANN202
-        import pandas as pd
 
-        length, rank = length.to_numpy(np.int64), rank.to_numpy(np.int64)
-        run = table_of[np.searchsorted(keys, (length << 44) | rank, side="right") - 1]
-        n = rank - run[:, 1]
-        return pd.DataFrame({"sequence_id": run[:, 3] + n // run[:, 2], "offset": run[:, 4] + n % run[:, 2] * length})
+def _looked_up(ranked: DataFrame, runs: list[tuple[int, int, int, int, int]], id_bytes: int) -> DataFrame:
+    """``ranked`` with its places, and binary ids as arrays, in one pass: a second Python operator would take a second worker a task."""
+    table_of = np.array(sorted(runs), dtype=np.int64).reshape(-1, 5)
+    keys = (table_of[:, 0] << 44) | table_of[:, 1]
 
-    return ranked.withColumn("_at", find(F.col("length"), F.col("_rank"))).withColumns({"sequence_id": F.col("_at.sequence_id"), "offset": F.col("_at.offset")})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            length, rank = (b.column(c).to_numpy().astype(np.int64) for c in ("length", "_rank"))
+            own = table_of[np.searchsorted(keys, (length << 44) | rank, side="right") - 1]
+            n = rank - own[:, 1]
+            kept = [c for c in b.schema.names if c != "_rank"]
+            columns = [_lists_of(b.column(c), id_bytes) if id_bytes and c == "ids" else b.column(c) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(own[:, 3] + n // own[:, 2]), pa.array(own[:, 4] + n % own[:, 2] * length)], names=[*kept, "sequence_id", "offset"])
+
+    kinds = [T.StructField("ids", T.ArrayType(T.IntegerType())) if id_bytes and f.name == "ids" else f for f in ranked.schema.fields if f.name != "_rank"]
+    return ranked.mapInArrow(run, T.StructType([*kinds, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
 def packed_sequences(docs: DataFrame, file: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

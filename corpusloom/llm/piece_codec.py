@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.chunks import ChunkTable, hashes
-from corpusloom.llm.common import in_slices, lean, table
+from corpusloom.llm.common import freed, in_slices, lean, table
 from corpusloom.llm.shingles import bytes_of
 
 #: Chunks of the table that is sent to all workers, and bytes of the longest one in it.
 SHARED, LONGEST = 100_000, 64
 #: Bytes of text whose chunks are looked up at once, and chunks counted at once.
-ROOM, COUNTED = 1 << 19, 1 << 18
+ROOM, COUNTED = 1 << 18, 1 << 17
 _MARK = "▁"
 
 
@@ -175,20 +175,23 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield given()
 
 
-def frequent_chunks(docs: DataFrame, model_file: str, most: int = SHARED) -> list[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
-    """The most frequent chunks with their rows of the table, each segmented once, in a task."""
+def frequent_chunks(docs: DataFrame, model_file: str, most: int = SHARED) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The most frequent chunks and their rows of the table, each segmented once, in a task: of each column its values on end and their sizes."""
+    names = ("chunk", "ids", "digits", "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            chunks = b.column("chunk").to_pylist()
-            rows = codec(model_file).segmented(chunks)
-            yield pa.RecordBatch.from_arrays([b.column("chunk"), *(pa.array([r[p].tobytes() for r in rows], pa.binary()) for p in range(3))], names=["chunk", "ids", "digits", "decoded"])
+            rows = codec(model_file).segmented(b.column("chunk").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("chunk"), *(pa.array([r[p].tobytes() for r in rows], pa.binary()) for p in range(3))], names=names)
 
     counted = docs.select("text").where("text <> ''").mapInArrow(_counted, "chunk binary, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
     # a report of the most frequent: SHARED rows of LONGEST bytes at most
-    top = counted.orderBy(F.desc("n"), "chunk").limit(most).select("chunk").mapInArrow(run, "chunk binary, ids binary, digits binary, decoded binary").toArrow()
-    cols = [top.column(c).to_pylist() for c in ("chunk", "ids", "digits", "decoded")]
-    return [(c, np.frombuffer(i, "<i4"), np.frombuffer(d, np.uint8), np.frombuffer(t, np.uint8)) for c, i, d, t in zip(*cols, strict=True)]
+    top = counted.orderBy(F.desc("n"), "chunk").limit(most).select("chunk").mapInArrow(run, ", ".join(f"{n} binary" for n in names)).toArrow()
+    out = []
+    for name, kind in zip(names, ("u1", "<i4", "u1", "u1"), strict=True):
+        values = top.column(name).to_pylist()
+        out.append((np.frombuffer(b"".join(values), kind), np.array([len(v) for v in values], np.int64) // np.dtype(kind).itemsize))
+    return out
 
 
 def encode(docs: DataFrame, model_file: str, text_col: str = "text", to: str = "ids") -> DataFrame:
@@ -229,6 +232,7 @@ def digests(docs: DataFrame, model_file: str) -> DataFrame:
             for b in in_slices(whole, 512, ROOM):
                 of = [(n, sha256(ids).hexdigest(), sha256(text).hexdigest()) for n, ids, text in made.digests(b.column("text"))]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*of, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        freed()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -193,6 +193,8 @@ def test_packing_of_odd_rows(spark, odd):
             at += r.length
         assert at <= 4096
     assert packing.pack(packing.cut(packing.token_pieces(df.where("false"), file), "p")).count() == 0
+    short = packing.pack(packing.token_pieces(df, file, id_bytes=2), counted=packing.token_pieces(df, file, keep_ids=False), id_bytes=2)
+    assert Counter((r.doc_id, r.piece, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in short.collect()) == Counter({(k[0], k[1], k[4]): n for k, n in want.items()})
     whole = packing.packed_sequences(df, file)
     assert sum(len(r.ids) for r in whole.collect()) == sum(k[3] * n for k, n in want.items())
 
@@ -262,7 +264,8 @@ def test_pieces_of_odd_rows(spark, odd):
 def test_codec_with_a_small_table(separable):
     codec = piece_codec.Codec(piece_codec.public_model())
     codec.separable, codec.table.rows = separable and codec.separable, 50
-    codec.table.start_with([(c, *codec.segmented([c])[0]) for c in (b" a", b"\n", b" the")])
+    columns = list(zip(*[(np.frombuffer(c, np.uint8), *codec.segmented([c])[0]) for c in (b" a", b"\n", b" the")]))
+    codec.table.start_with([(np.concatenate(c), np.array([len(x) for x in c])) for c in columns])
     rnd = random.Random(6)
     texts = ["".join(rnd.choice([*"ab  \n\t▁éß1,.<s>😀　\0k\r", "the", "</s>"]) for _ in range(rnd.randint(0, 30))) for _ in range(2000)]
     for at in range(0, len(texts), 100):
