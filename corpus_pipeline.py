@@ -45,7 +45,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(cut(token_pieces(docs, public_tokenizer()), "pieces"))
+    file = public_tokenizer()
+    # texts are tokenized twice, as the ids would fill the disk if they were written and shuffled; the vocabulary's ids have two bytes
+    return pack(token_pieces(docs, file, id_bytes=2), counted=token_pieces(docs, file, keep_ids=False), id_bytes=2)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
