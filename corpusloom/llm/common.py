@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import ctypes
+import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own_dir: list[str] = []
 
@@ -84,6 +88,59 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 up by byte planes, compressed."""
+    wide = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    used = max(1, int(values.max(initial=0)).bit_length() + 7 >> 3)
+    return bytes([used]) + zstandard.ZstdCompressor(level=1).compress(wide[:, :used].T.tobytes())
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, : data[0]] = planes.T
+    return wide.reshape(-1).view("<u8").astype(np.int64)
+
+
+def _adding(keys: list[str], names: list[str], finish: Callable[[np.ndarray], bytes]):
+    """Rows come by ``keys``; each one's counts are added to what is held of its key."""
+
+    def row(key: tuple, total: np.ndarray, kinds: list[pa.DataType]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array([v], k) for v, k in zip(key, kinds, strict=False) if k is not None), pa.array([finish(total)], pa.binary())], names=[*names, "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total, kinds = None, np.empty(0, np.int64), []
+        for b in batches:
+            kinds = [b.schema.field(k).type for k in names]
+            for key, counts in zip(zip(*(b.column(k).to_pylist() for k in keys), strict=True), b.column("counts"), strict=True):
+                more = unsqueezed(counts.as_py())
+                if key == held:
+                    total += more
+                    continue
+                if held is not None:
+                    yield row(held, total, kinds)
+                held, total = key, more
+        if held is not None:
+            yield row(held, total, kinds)
+        freed()
+
+    return run
+
+
+def added_up(rows: DataFrame, finish: Callable[[np.ndarray], bytes] = squeezed) -> DataFrame:
+    """Of rows (keys ..., counts), ``counts`` being ``squeezed`` arrays of one size, one row a key with their sum.
+
+    Arrays are added one after the other as they come, first by key and salt, then by key, so a worker holds one sum and
+    one batch however many tasks gave counts, and no task reads more than about the root of their number.
+    """
+    keys = [c for c in rows.columns if c != "counts"]
+    kinds = T.StructType([*(rows.schema[k] for k in keys), T.StructField("counts", T.BinaryType())])
+    salted = rows.withColumn("_salt", F.spark_partition_id() % math.isqrt(partitions(rows.sparkSession)))
+    for by, end in (([*keys, "_salt"], squeezed), (keys, finish)):
+        salted = salted.repartition(*by).sortWithinPartitions(*by).mapInArrow(_adding(by, keys, end), kinds)
+    return salted
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z alone, whatever the locale."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -13,7 +13,7 @@ whose weights are added. Since a state is told by the last ``order`` - 1 words,
 segments side by side, each after these words before it, which carry it to its state without being scored.
 
 The model grows with the corpus, so nobody holds it whole. Texts are cut into slices of some
-two million tokens (``Sizes``), written as word numbers with the hashes of their distinct words. A slice asks for
+a million tokens (``Sizes``), written as word numbers with the hashes of their distinct words. A slice asks for
 the counts of its own distinct n-grams, and gives those that it has itself in training texts: both in one message a slice and bucket of
 hashes, six bytes an n-gram. A bucket, of as many texts' tokens whatever the input, adds up and answers in the same order.
 Back at the slice the answers make the part of the automaton that its texts can reach, and they are read by it. As a slice
@@ -36,11 +36,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyspark
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, freed, in_slices, lean, table
+from corpusloom.llm.common import cut, freed, in_slices, lean, squeezed, table, unsqueezed
 from corpusloom.llm.shingles import bytes_of, mixed, word_hashes
 
 ORDER, STRENGTH = 2, 32.0
@@ -58,7 +57,7 @@ _LOW = np.uint64((1 << 48) - 1)
 class Sizes(NamedTuple):
     """Tokens of a slice, of a bucket and of a segment; they change no result."""
 
-    slice: int = 1 << 21
+    slice: int = 1 << 20
     bucket: int = 1 << 20
     segment: int = 64
 
@@ -67,20 +66,6 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(MODULUS)) == HELD_OUT
 
 
-def _squeezed(values: np.ndarray) -> bytes:
-    """Whole numbers by byte planes, compressed."""
-    wide = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)
-    used = max(1, int(values.max(initial=0)).bit_length() + 7 >> 3)
-    return bytes([used]) + zstandard.ZstdCompressor(level=1).compress(wide[:, :used].T.tobytes())
-
-
-def _unsqueezed(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
-    wide = np.zeros((planes.shape[1], 8), np.uint8)
-    wide[:, : data[0]] = planes.T
-    return wide.reshape(-1).view("<u8").astype(np.int64)
-
-
 SLICE = "slice long, ids array<long>, held array<boolean>, sizes binary, seq binary, words binary, tokens long"
 
 
@@ -102,7 +87,7 @@ def _sliced(slice_tokens: int):
             order = np.argsort(-n, kind="stable")  # frequent words get small numbers, which take less room
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            return made([name, pa.concat_arrays(ids).to_pylist(), pa.concat_arrays(own).to_pylist(), _squeezed(np.concatenate(sizes)), _squeezed(rank[seq]), words[order].tobytes(), tokens])
+            return made([name, pa.concat_arrays(ids).to_pylist(), pa.concat_arrays(own).to_pylist(), squeezed(np.concatenate(sizes)), squeezed(rank[seq]), words[order].tobytes(), tokens])
 
         for whole in batches:
             for b in in_slices(whole, 4096, ROOM):
@@ -128,7 +113,7 @@ class Slice:
     """
 
     def __init__(self, sizes: bytes, seq: bytes, words: bytes, order: int) -> None:
-        sizes_, seq_ = _unsqueezed(sizes), _unsqueezed(seq)
+        sizes_, seq_ = unsqueezed(sizes), unsqueezed(seq)
         self.ends = np.cumsum(sizes_ + 2)
         self.begins = self.ends - sizes_ - 2
         self.tokens = np.full(int(self.ends[-1]) if len(sizes_) else 0, WORDS_FROM, np.int64)
@@ -192,7 +177,7 @@ def _asked(order: int, bits: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([int(bucket[i]) for i, _ in pairs], pa.int64()), pa.array([r["slice"]] * len(pairs), pa.int64()), pa.array([int((~longer[i:j]).sum()) for i, j in pairs], pa.int64()),
-                        pa.array([lows[i:j].tobytes() for i, j in pairs], pa.binary()), pa.array([_squeezed(counts[i:j]) for i, j in pairs], pa.binary()),
+                        pa.array([lows[i:j].tobytes() for i, j in pairs], pa.binary()), pa.array([squeezed(counts[i:j]) for i, j in pairs], pa.binary()),
                     ],
                     names=["bucket", "slice", "words", "lows", "counts"],
                 )
@@ -218,7 +203,7 @@ def _answered(bits: int):
         longer = np.arange(len(keys)) - np.repeat(begins, sizes) >= np.repeat(words, sizes)
         keys |= longer.astype(np.int64) << 48
         distinct, number = np.unique(keys, return_inverse=True)
-        each = np.concatenate([_unsqueezed(r["counts"]) for r in held])
+        each = np.concatenate([unsqueezed(r["counts"]) for r in held])
         total = np.bincount(number, weights=each, minlength=len(distinct)).astype(np.int64)  # doubles are exact to 2**53
         own = total[number]
         is_word = distinct < 1 << 48
@@ -227,7 +212,7 @@ def _answered(bits: int):
         ends = begins + sizes
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([*(r["slice"] for r in held), None], pa.int64()), pa.array([bucket] * (len(held) + 1), pa.int64()), pa.array([*(_squeezed(own[i:j]) for i, j in zip(begins, ends, strict=True)), None], pa.binary()),
+                pa.array([*(r["slice"] for r in held), None], pa.int64()), pa.array([bucket] * (len(held) + 1), pa.int64()), pa.array([*(squeezed(own[i:j]) for i, j in zip(begins, ends, strict=True)), None], pa.binary()),
                 pa.array([None] * len(held) + [int((is_word & (total > 0)).sum())], pa.int64()), pa.array([None] * len(held) + [int(total[is_word].sum())], pa.int64()),
             ],
             names=[c.split()[0] for c in ANSWER.split(", ")],
@@ -345,7 +330,7 @@ def _read(order: int, strength: float, n: int, v: int, segment: int):
     def scored(own: dict, answers: list[bytes], bits: int) -> Iterator[pa.RecordBatch]:
         s = Slice(own["sizes"], own["seq"], own["words"], order)
         counts = np.empty(len(s.flat), np.int64)
-        counts[s.by_bucket(bits)[1]] = np.concatenate([_unsqueezed(a) for a in answers])
+        counts[s.by_bucket(bits)[1]] = np.concatenate([unsqueezed(a) for a in answers])
         automaton = Automaton(s, s.by_order(counts), n, v, strength)
         score = automaton.scores(s, segment)
         is_token = s.tokens != BEGIN
