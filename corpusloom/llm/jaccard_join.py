@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, discard, freed, in_slices, lean, parts, table, with_mark, without
+from corpusloom.llm.common import added_up, cut, discard, freed, in_slices, lean, parts, squeezed, table, with_mark, without
 from corpusloom.llm.components import components, extended
 from corpusloom.llm.shingles import mixed, shingle_sets
 
@@ -59,32 +59,26 @@ PAIRS = 256
 
 
 def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS, np.uint16)
+    total = np.zeros(COUNTERS, np.uint32)
     for whole in batches:
         for b in in_slices(whole, SLICE, ROOM):
             for s in shingle_sets(b.column("text")):
-                at = (s & np.uint64(COUNTERS - 1)).astype(np.int64)
-                held = total[at]
-                total[at] = held + (held < 65535)
-    # what a task met once is no passage, and most of what fills a table too small for all shingles
-    rows = [np.minimum(np.where(part == 1, 0, part), 255).astype(np.uint8).tobytes() for part in total.reshape(COUNTER_PARTS, -1)]
-    yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_PARTS), pa.int32()), pa.array(rows, pa.binary())], names=["part", "counts"])
-    del total, rows
+                total[(s & np.uint64(COUNTERS - 1)).astype(np.int64)] += np.uint32(1)  # of two shingles of one text and counter one counts
+    for i, part in enumerate(total.reshape(COUNTER_PARTS, -1)):
+        # what a task met once is no passage, and most of what fills a table too small for all shingles
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([squeezed(np.where(part == 1, 0, part))], pa.binary())], names=["part", "counts"])
+    del total, part
     freed()
 
 
-def _summed(t: pa.Table) -> pa.Table:
-    total = np.zeros(COUNTERS // COUNTER_PARTS, np.int64)
-    for c in t.column("counts"):
-        total += np.frombuffer(c.as_py(), np.uint8)
-    classes = np.minimum(np.ceil(np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
-    return pa.table({"part": t.column("part")[:1], "classes": pa.array([classes.tobytes()], pa.binary())})
+def _class_of(total: np.ndarray) -> bytes:
+    return np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8).tobytes()
 
 
 def frequency_classes(docs: DataFrame) -> np.ndarray:
     """log2 of the documents counted under each counter: one byte a counter, COUNTERS bytes."""
-    counted = docs.select("text").mapInArrow(_count_shingles, "part int, counts binary").groupBy("part").applyInArrow(_summed, "part int, classes binary")
-    got = {r["part"]: bytes(r["classes"]) for r in counted.collect()}
+    counted = docs.select("text").mapInArrow(_count_shingles, "part int, counts binary")
+    got = {r["part"]: bytes(r["counts"]) for r in added_up(counted, _class_of).collect()}
     empty = bytes(COUNTERS // COUNTER_PARTS)
     return np.frombuffer(b"".join(got.get(i, empty) for i in range(COUNTER_PARTS)), np.uint8)
 
@@ -387,8 +381,8 @@ def _labels(base: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
     return labels
 
 
-def _joined(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Every row's facts (a written table), and by digest ``best``: of its component the row with the least id, nulls last, and least text hash."""
+def _joined(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Every row's facts (a written table), all written tables that are read, and by digest ``best``: of its component the row with the least id, nulls last, and least text hash."""
     lean(docs.sparkSession)
     base = cut(_prefixes(docs, percent), "shingles")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_th", "rid")
@@ -396,12 +390,12 @@ def _joined(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     labels = _labels(base, classes, docs, percent)
     labelled = classes.join(labels.withColumnRenamed("id", "_rid"), F.col("rep.rid") == F.col("_rid"), "left").select("digest", "rep", F.coalesce("label", "rep.rid").alias("label"))
     best = labelled.groupBy("label").agg(F.min("rep").alias("best"))
-    return base, labelled.join(best, "label").select("digest", "best")
+    return base, labelled.join(best, "label").select("digest", "best"), [base, classes, labels]
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of (doc_id, text)."""
-    base, by_class = _joined(docs, percent)
+    base, by_class, _ = _joined(docs, percent)
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
     return base.select("doc_id", "n", "digest").join(by_class, "digest", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
@@ -412,11 +406,12 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     A row without words is linked with nothing and stays, but for repeats under its own id. Only rows that a bitmap
     can't rule out to go or to be repeated are shuffled.
     """
-    base, by_class = _joined(docs, percent)
+    base, by_class, read = _joined(docs, percent)
     stays = F.col("n").eqNullSafe(0) | ((F.col("_k") == F.coalesce("best.doc_id", F.lit(-1))) & (F.col("_th") == F.col("best._th")))
     judged = base.select("_k", "_th", "n", "digest", "doc_id").join(by_class, "digest", "left").groupBy("_k", "_th")
     judged = judged.agg(F.max(stays).alias("_stays"), F.max(F.expr("doc_id is null and n = 0")).alias("_apart"), F.count("*").alias("_rows"))
     open_ = cut(judged.where("not _stays or (_rows > 1 and not _apart)").select("_k", "_th", "_stays", F.xxhash64("_k", "_th").alias("_tk")), "open")
+    discard(*read)
     keyed = docs.select("*", *_text_key()).withColumn("_tk", F.xxhash64("_k", "_th"))
     marked = with_mark(keyed, "_tk", open_.select("_tk"))
     sure = marked.where("not _marked").select(*docs.columns)

@@ -2,7 +2,7 @@
 
 Features are character n-grams of 1 to 3 code points of the lower-cased text, hashed to BUCKETS
 buckets. Training adds up bucket counts by language over every labelled training document: one
-partial vector a language and task, merged by key. The log-probability matrix has languages x
+partial vector a language and task, added one by one as they come (``added_up``). The log-probability matrix has languages x
 BUCKETS floats and is broadcast; it has MAX_LANGUAGES rows at most, and of more labels those of the fewest
 documents are not learned. Scoring is sparse, in numpy: the matrix is gathered at a batch's buckets
 and summed by document.
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import in_slices, lean, table, texts_of
+from corpusloom.llm.common import added_up, in_slices, lean, squeezed, table, texts_of, unsqueezed
 
 BUCKETS = 1 << 15
 ORDERS = 3
@@ -85,7 +85,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def given() -> pa.RecordBatch:
         langs, back = zip(*held, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(langs), pa.array(back), pa.array([c.astype("<i8").tobytes() for c in held.values()], pa.binary())], names=["lang", "back", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(langs), pa.array(back), pa.array(list(map(squeezed, held.values())), pa.binary())], names=["lang", "back", "counts"])
 
     for whole in batches:
         for b in in_slices(whole, 256, ROOM):
@@ -101,13 +101,6 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield given()
 
 
-def _merged(t: pa.Table) -> pa.Table:
-    total = np.zeros(BUCKETS, dtype=np.int64)
-    for c in t.column("counts"):
-        total += np.frombuffer(c.as_py(), "<i8")
-    return pa.table({"lang": t.column("lang")[:1], "back": t.column("back")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-
 class Model:
     """Labels in order and the log-probabilities of buckets, languages x (BUCKETS + 1); the last, for no n-gram, is 0.
 
@@ -201,11 +194,8 @@ def train(labelled: DataFrame) -> Model:
     most = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()]
     if len(most) > MAX_LANGUAGES:
         rows = rows.where(F.col("lang").isin(most[:MAX_LANGUAGES]))
-    # a partial vector a task and language, then one a language
     counted = rows.mapInArrow(_counts, "lang string, back boolean, counts binary")
-    salted = counted.groupBy("lang", "back", (F.spark_partition_id() % 16).alias("salt")).applyInArrow(_merged, "lang string, back boolean, counts binary")
-    merged = salted.groupBy("lang", "back").applyInArrow(_merged, "lang string, back boolean, counts binary").collect()
-    of = {(r["lang"], r["back"]): np.frombuffer(bytes(r["counts"]), "<i8") for r in merged}
+    of = {(r["lang"], r["back"]): unsqueezed(bytes(r["counts"])) for r in added_up(counted).collect()}
     labels, none = sorted({lang for lang, _ in of}), np.zeros(BUCKETS, np.int64)
     front = np.array([of.get((lang, False), none) for lang in labels]).reshape(-1, BUCKETS)
     model = Model(labels, front + np.array([of.get((lang, True), none) for lang in labels]).reshape(-1, BUCKETS))

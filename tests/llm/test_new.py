@@ -246,3 +246,43 @@ def test_context_helps_on_texts_not_learned(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = ngram_scores.scores(docs).where("held_out").selectExpr("sum(score) / sum(n_tokens) AS own", "sum(base_score) / sum(n_tokens) AS base", "count(*) AS n").first()
     assert r.n > 50 and r.own > r.base + 0.3
+
+
+def test_hot_keys_are_told_beyond_small_counters(spark):
+    """50,000 near copies in one task: each sub-tile of their common keys has some BLOCK rows."""
+    from corpusloom.llm import jaccard_join
+
+    common = " ".join(f"w{i}" for i in range(30))
+    rows = spark.range(50_000, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.lit(common + " x"), "id").alias("text"))
+    keys = jaccard_join._prefixes(rows, 80).select(F.explode(F.arrays_zip("keys", "salts")).alias("t")).groupBy("t.keys", "t.salts").count()
+    most, tiles = keys.where("salts > 0").agg(F.max("count"), F.count("*")).first()
+    assert most <= 2 * jaccard_join.BLOCK and tiles >= 50_000 / jaccard_join.BLOCK
+    assert keys.where("salts = 0").agg(F.max("count")).first()[0] <= 2 * jaccard_join.BLOCK
+
+
+@pytest.mark.parametrize("shuffle", [1, 9])
+def test_counts_are_added_up_one_by_one(spark, shuffle):
+    from corpusloom.llm.common import added_up, squeezed, unsqueezed
+
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(shuffle))
+    rows = [(k, i % 2 == 0, bytearray(squeezed(np.arange(5) * 10**i + k))) for i in range(12) for k in range(3)]
+    got = {(r.key, r.even): unsqueezed(bytes(r.counts)).tolist() for r in added_up(spark.createDataFrame(rows, "key int, even boolean, counts binary").repartition(7)).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got == {(k, e): sum(np.arange(5) * 10**i + k for i in range(12) if (i % 2 == 0) == e).tolist() for k in range(3) for e in (True, False)}
+
+
+def test_packing_joins_many_counts_by_a_shuffle(spark, monkeypatch):
+    from corpusloom.llm import packing
+
+    pieces = spark.createDataFrame([(i, i % 7 + 1) for i in range(500)], "doc_id long, length long").repartition(5)
+    for most in (packing.MOST_SENT, 0):
+        monkeypatch.setattr(packing, "MOST_SENT", most)
+        got = packing.pack(pieces, 10).collect()
+        assert len(got) == 500 and len({(r.sequence_id, r.offset) for r in got}) == 500
+        room = Counter()
+        for r in got:
+            room[r.sequence_id] += r.length
+        assert max(room.values()) <= 10
+        for s, total in room.items():
+            assert sorted((r.offset, r.length) for r in got if r.sequence_id == s)[-1][0] < total
