@@ -5,18 +5,18 @@ a segment tree over remaining capacities finds that bin in logarithmic time. Sin
 length are alike and bins of one remaining capacity too, the packing is carried out on the
 histogram of lengths: at most ``capacity`` rows reach the driver, whatever the input, and
 the result is that of best-fit decreasing over all pieces at once. It is written down as runs
-(pieces of a length, by rank, to a range of bins at one offset). Pieces get their rank from counts by
-length and bucket and a window within each, so that a frequent length is no single task, and look
-up their run.
+(pieces of a length, by rank, to a range of bins at one offset). The task that cuts texts into pieces numbers them
+by length as it writes them; a piece's rank is that number and the count of its length in the tasks before. So
+rows are numbered where they lie: no rows are sorted or shuffled for it, and a frequent length is no task of its own.
 
 Texts are tokenized by distinct words: the tokenizer's pre-tokenizer drops white space and its
 patterns don't reach across it, so each distinct run between spaces and line breaks is encoded by
 the library when a worker meets it first, and its ids are joined back by position.
 
 Cases: a null text is empty and has the end id alone; a null id stays null. Very long texts are cut into
-pieces and never held but for themselves. Repeated rows are packed each; among equal (doc_id, piece) and
-among pieces of one length the order is any. An empty table gives no rows. Extra columns are ignored by
-``token_pieces`` and kept by ``pack``, whose own names they may not have.
+pieces and never held but for themselves. Repeated rows are packed each; among pieces of one length the order
+is any. An empty table gives no rows. Extra columns are ignored by
+``token_pieces`` and kept by ``pack``, whose own names (task, nth, sequence_id, offset and such with ``_``) they may not have.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyspark
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +37,8 @@ from corpusloom.llm.shingles import bytes_of
 
 CAPACITY = 4096
 END_ID = 1
-RANK_BUCKETS = 64
+#: Rows (task, length) of counts that are sent to all tasks, at 24 bytes each; more are joined by a shuffle.
+MOST_SENT = 1 << 20
 #: Bytes of text whose words are looked up at once.
 ROOM = 1 << 18
 
@@ -123,10 +125,45 @@ def word_tokens(file: str, end_id: int) -> WordTokens:
 
 
 PIECE = "doc_id long, piece int, start long, length long"
+NUMBERS = "task int, nth long"
+
+
+class Numbering:
+    """Numbers a task's rows by length."""
+
+    def __init__(self) -> None:
+        self.task, self.met = pyspark.TaskContext.get().partitionId(), np.zeros(1, np.int64)
+
+    def columns(self, length: np.ndarray) -> list[pa.Array]:
+        """``task`` and ``nth`` of rows of these lengths."""
+        size = int(length.max(initial=0)) + 1
+        if size > len(self.met):
+            self.met = np.concatenate([self.met, np.zeros(size - len(self.met), np.int64)])
+        order = np.argsort(length, kind="stable")
+        count = np.bincount(length, minlength=len(self.met))
+        nth = np.empty(len(length), np.int64)
+        nth[order] = np.arange(len(length)) - np.repeat(np.cumsum(count) - count, count)
+        nth += self.met[length]
+        self.met += count
+        return [pa.array(np.full(len(length), self.task, np.int32)), pa.array(nth)]
+
+
+def numbered(pieces: DataFrame) -> DataFrame:
+    """``pieces`` (any columns, with length) with ``task`` and ``nth``; to be written before it is read for counts and ranks."""
+    names = pieces.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Numbering()
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*b.columns, *own.columns(b.column("length").to_numpy().astype(np.int64))], names=[*names, "task", "nth"])
+
+    return pieces.mapInArrow(run, T.StructType([*pieces.schema.fields, T.StructField("task", T.IntegerType()), T.StructField("nth", T.LongType())]))
 
 
 def _pieces(file: str, capacity: int, end_id: int, keep_ids: bool, id_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Numbering()
         for whole in batches:
             for b in in_slices(whole, 512, ROOM):
                 ids, begins = word_tokens(file, end_id).encode(b.column("text"))
@@ -146,20 +183,23 @@ def _pieces(file: str, capacity: int, end_id: int, keep_ids: bool, id_bytes: int
                 else:
                     flat = memoryview(ids).cast("B")
                     last = pa.array([zlib.crc32(flat[4 * x : 4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), last], names=["doc_id", "piece", "start", "length", "ids" if keep_ids else "ids_crc32"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), last, *own.columns(length)],
+                    names=["doc_id", "piece", "start", "length", "ids" if keep_ids else "ids_crc32", "task", "nth"],
+                )
         freed()
 
     return run
 
 
 def token_pieces(docs: DataFrame, file: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True, id_bytes: int = 0) -> DataFrame:
-    """doc_id, piece, start, length and ``ids`` (array), or ``ids_crc32`` in their place.
+    """doc_id, piece, start, length and ``ids`` (array), or ``ids_crc32`` in their place, and ``task`` and ``nth`` for ``pack``.
 
-    With ``id_bytes`` ids are written as binary, little-endian numbers of so many bytes each, for shuffles; ``pack`` makes arrays of them again.
+    With ``id_bytes`` ids are written as binary, little-endian numbers of so many bytes each; ``pack`` makes arrays of them again.
     """
     lean(docs.sparkSession)
     last = ("ids binary" if id_bytes else "ids array<int>") if keep_ids else "ids_crc32 long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(file, capacity, end_id, keep_ids, id_bytes), f"{PIECE}, {last}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(file, capacity, end_id, keep_ids, id_bytes), f"{PIECE}, {last}, {NUMBERS}")
 
 
 class OpenBins:
@@ -238,30 +278,26 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, i
     return runs
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, counted: DataFrame | None = None, id_bytes: int = 0) -> DataFrame:
-    """``pieces`` (any columns, with doc_id, piece and length from 1 to capacity) with sequence_id and offset.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, id_bytes: int = 0) -> DataFrame:
+    """``pieces`` (any columns, with length from 1 to capacity) with sequence_id and offset, without task and nth.
 
-    ``pieces`` should be a written table, as it is read for the counts and again for the placing; or ``counted`` has the same
-    rows without what is wide, and then ``pieces`` is made but once. ``id_bytes`` is that of binary ids. Runs are sent with the
-    tasks: they are at most the pieces of one length and bin, and level off with the input (11,000 at 20 million pieces).
+    ``pieces`` should be a written table with ``task`` and ``nth`` as ``token_pieces`` or ``numbered`` gives them, as it is read for the
+    counts and again for the places; without these columns it is numbered and written here. ``id_bytes`` is that of binary ids.
+    Runs are sent with the tasks: they are at most the pieces of one length and bin, and level off with the input (11,000 at 20 million pieces).
     """
-    spark = pieces.sparkSession
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)).cast("int")
-    counted = (pieces if counted is None else counted).groupBy(F.col("length"), bucket.alias("_bucket")).count()
-    counts = sorted((r["length"], r["_bucket"], r["count"]) for r in counted.collect())  # capacity x RANK_BUCKETS rows at most
-    histogram: dict[int, int] = {}
-    before = []
-    for length, b, n in counts:
-        before.append((length, b, histogram.get(length, 0)))
-        histogram[length] = histogram.get(length, 0) + n
+    if "nth" not in pieces.columns:
+        pieces = cut(numbered(pieces), "pieces")
+    counts = pieces.groupBy("task", "length").count()
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # capacity rows at most
     runs = best_fit(histogram, capacity)
-    ranks = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")
-    begin = spark.createDataFrame(before or [(0, 0, 0)], "length long, _bucket int, _before long")
-    # capacity x RANK_BUCKETS rows at most
-    ranked = pieces.withColumn("_bucket", bucket).withColumn("_row", F.row_number().over(ranks) - 1).join(F.broadcast(begin), ["length", "_bucket"]).withColumn("_rank", F.col("_row") + F.col("_before"))
-    ranked = ranked.drop("_bucket", "_row", "_before")
-    placed = _looked_up(ranked, runs, id_bytes)
-    return placed.select(*pieces.columns, "sequence_id", "offset")
+    # a row a task of a length: the counts of the tasks before
+    earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    begin = counts.select("task", "length", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
+    if counts.count() <= MOST_SENT:
+        begin = F.broadcast(begin)
+    ranked = pieces.join(begin, ["task", "length"]).withColumn("_rank", F.col("nth") + F.col("_before"))
+    kept = [c for c in pieces.columns if c not in ("task", "nth")]
+    return _looked_up(ranked.select(*kept, "_rank"), runs, id_bytes)
 
 
 def _lists_of(column: pa.Array, id_bytes: int) -> pa.Array:

@@ -193,7 +193,7 @@ def test_packing_of_odd_rows(spark, odd):
             at += r.length
         assert at <= 4096
     assert packing.pack(packing.cut(packing.token_pieces(df.where("false"), file), "p")).count() == 0
-    short = packing.pack(packing.token_pieces(df, file, id_bytes=2), counted=packing.token_pieces(df, file, keep_ids=False), id_bytes=2)
+    short = packing.pack(packing.cut(packing.token_pieces(df, file, id_bytes=2), "p"), id_bytes=2)
     assert Counter((r.doc_id, r.piece, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in short.collect()) == Counter({(k[0], k[1], k[4]): n for k, n in want.items()})
     whole = packing.packed_sequences(df, file)
     assert sum(len(r.ids) for r in whole.collect()) == sum(k[3] * n for k, n in want.items())
