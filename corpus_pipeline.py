@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, table
+from corpusloom.llm.common import cut, discard, table
 from corpusloom.llm.jaccard_join import deduplicated
 from corpusloom.llm.language_id import accepted, held_out, predict, train
 from corpusloom.llm.packing import pack, public_tokenizer, token_pieces
@@ -45,9 +45,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    file = public_tokenizer()
-    # texts are tokenized twice, as the ids would fill the disk if they were written and shuffled; the vocabulary's ids have two bytes
-    return pack(token_pieces(docs, file, id_bytes=2), counted=token_pieces(docs, file, keep_ids=False), id_bytes=2)
+    # the vocabulary's ids have two bytes
+    return pack(cut(token_pieces(docs, public_tokenizer(), id_bytes=2), "pieces"), id_bytes=2)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -61,9 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = cut(docs, name)
-    return docs
+    docs, written = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+        if written is not None:
+            discard(written)
+        written = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
