@@ -56,6 +56,8 @@ SLACK = 1e-6
 BEST_ROUNDS, PER_ROW, MANY = 3, 16, 20
 #: Pairs of texts that one partition takes.
 PAIRS = 256
+#: Keys of rows that go, or repeat, which are sent to all tasks; of more a bitmap is sent, and the rows that it marks are shuffled.
+MOST_SENT = 1 << 19
 
 
 def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,10 +220,14 @@ def _verified(pairs: DataFrame, base: DataFrame, docs: DataFrame, percent: int)
     wanted = base.select("rid", "_k", "_th").join(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "rid")
     wanted = cut(wanted.withColumn("_tk", F.xxhash64("_k", "_th")), "wanted")
     rows = docs.where("text is not null").select(*_text_key(), "text").withColumn("_tk", F.xxhash64("_k", "_th"))
-    marked = with_mark(rows, "_tk", wanted.select("_tk")).where("_marked").groupBy("_k", "_th").agg(F.first("text").alias("text"))
-    texts = wanted.join(marked, ["_k", "_th"]).select("rid", "text")
-    x, y = (texts.select(F.col("rid").alias(c), F.col("text").alias(t)) for c, t in (("a", "x"), ("b", "y")))
-    dealt = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").coalesce(parts(pairs.count(), PAIRS))
+    texts = with_mark(rows, "_tk", wanted.select("_tk")).where("_marked").groupBy("_k", "_th").agg(F.first("text").alias("text"))
+    # pairs go to the texts by these' own key, so that a text is dealt out once, and once more to meet the other
+    keyed = pairs
+    for c in ("a", "b"):
+        keyed = keyed.join(wanted.select(F.col("rid").alias(c), F.col("_k").alias(f"_k{c}"), F.col("_th").alias(f"_th{c}")), c)
+    x, y = (texts.select(F.col("_k").alias(f"_k{c}"), F.col("_th").alias(f"_th{c}"), F.col("text").alias(t)) for c, t in (("a", "x"), ("b", "y")))
+    met = keyed.join(x, ["_ka", "_tha"]).join(y, ["_kb", "_thb"])
+    dealt = met.select("a", "b", "x", "y").coalesce(parts(pairs.count(), PAIRS))
     links = cut(dealt.mapInArrow(_linked(percent), "a long, b long"), "links")
     discard(wanted)
     return links
@@ -403,8 +409,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, that stay when of each component one row does: of the least id, nulls last.
 
-    A row without words is linked with nothing and stays, but for repeats under its own id. Only rows that a bitmap
-    can't rule out to go or to be repeated are shuffled.
+    A row without words is linked with nothing and stays, but for repeats under its own id. Only rows that are repeated
+    or, with very many such rows, that a bitmap can't rule out to go or to be repeated, are shuffled.
     """
     base, by_class, read = _joined(docs, percent)
     stays = F.col("n").eqNullSafe(0) | ((F.col("_k") == F.coalesce("best.doc_id", F.lit(-1))) & (F.col("_th") == F.col("best._th")))
@@ -412,13 +418,17 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     judged = judged.agg(F.max(stays).alias("_stays"), F.max(F.expr("doc_id is null and n = 0")).alias("_apart"), F.count("*").alias("_rows"))
     open_ = cut(judged.where("not _stays or (_rows > 1 and not _apart)").select("_k", "_th", "_stays", F.xxhash64("_k", "_th").alias("_tk")), "open")
     discard(*read)
-    keyed = docs.select("*", *_text_key()).withColumn("_tk", F.xxhash64("_k", "_th"))
-    marked = with_mark(keyed, "_tk", open_.select("_tk"))
-    sure = marked.where("not _marked").select(*docs.columns)
-    unsure = marked.where("_marked").join(open_.select("_k", "_th", "_stays"), ["_k", "_th"], "left")
+    keyed = docs.select("*", *_text_key())
+    known = open_.select("_k", "_th", "_stays")
+    if open_.count() <= MOST_SENT:
+        sure, unsure = None, keyed.join(F.broadcast(known), ["_k", "_th"], "left")
+    else:
+        marked = with_mark(keyed.withColumn("_tk", F.xxhash64("_k", "_th")), "_tk", open_.select("_tk"))
+        sure = marked.where("not _marked").select(*docs.columns)
+        unsure = marked.where("_marked").join(known, ["_k", "_th"], "left")
     free = unsure.where("_stays is null").select(*docs.columns)
     one = unsure.where("_stays").dropDuplicates(["_k", "_th"]).select(*docs.columns)
-    return sure.unionAll(free).unionAll(one)
+    return free.unionAll(one) if sure is None else sure.unionAll(free).unionAll(one)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

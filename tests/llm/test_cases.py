@@ -87,7 +87,9 @@ def test_hot_groups_of_near_copies(spark, monkeypatch, small):
     assert [got[i] for i, _ in rows] == [rows[v][0] for v in label]
 
 
-def test_deduplicated_keeps_one_row_of_each_component(spark, odd):
+@pytest.mark.parametrize("sent", [jaccard_join.MOST_SENT, 0])
+def test_deduplicated_keeps_one_row_of_each_component(spark, odd, monkeypatch, sent):
+    monkeypatch.setattr(jaccard_join, "MOST_SENT", sent)
     df = with_clashes(spark.createDataFrame(odd, DOC)).drop("_x")
     got = jaccard_join.deduplicated(df)
     assert got.columns == df.columns
