@@ -45,6 +45,23 @@ def sheet(papers: DataFrame, decisions: DataFrame, facts: DataFrame, source: str
     return made.join(numbers, "paper_id").select(*FIELDS)
 
 
+def write_csv(rows: DataFrame, source: str, path: str) -> None:
+    """A sheet as a folder of CSV files with its headers, written by the tasks that hold the rows."""
+    rows.select(*FIELDS).toDF(*HEADERS[source]).write.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
+
+
+# The columns of the flat result form.
+RESULT = ["Global_ID", "Title", "URL", "Abstract", "Source_Type", "Status", "Rationale", "Applied_Criteria"]
+
+
+def results(papers: DataFrame, decisions: DataFrame) -> DataFrame:
+    """RESULT of every decided paper, a row each; codes are joined by a semicolon. A missing text is empty, papers without a decision are left out."""
+    text = lambda name, of: F.coalesce(F.col(name), F.lit("")) if name in of.columns else F.lit("")
+    made = decisions.select("paper_id", "status", text("rationale", decisions).alias("_why"), F.array_join("codes", "; ").alias("_codes"))
+    own = papers.select(F.col("id").alias("paper_id"), text("title", papers).alias("_title"), text("url", papers).alias("_url"), text("abstract", papers).alias("_abstract"), "source_type")
+    return made.join(own, "paper_id").select(*[F.col(c).alias(name) for c, name in zip(["paper_id", "_title", "_url", "_abstract", "source_type", "status", "_why", "_codes"], RESULT, strict=True)])
+
+
 def write_zip(sheets: dict[str, DataFrame], path: str, names: dict[str, str]) -> None:
     """A report of one CSV a source in a zip on the driver's disk, UTF-8 with a byte order mark; rows are streamed, one partition at a time."""
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.store import EVENT
+
 SCORES = tuple(f"{s}_q{i}" for s in ("wl", "gl") for i in range(1, 5))
 NO_CONTENT = "(no content available)"
 
@@ -17,12 +19,29 @@ def _latest(value: Column) -> Column:
     return F.max_by(value, F.when(value.isNotNull(), F.col("seq")))
 
 
+def _scored() -> Column:
+    return F.coalesce(*[F.col(f"q{i}") for i in range(1, 5)]).isNotNull()
+
+
+def _total() -> Column:
+    return sum((F.coalesce(F.col(f"q{i}"), F.lit(0.0)) for i in range(1, 5)), F.lit(0.0))
+
+
 def facts(events: DataFrame) -> DataFrame:
-    """paper_id, wl_q1 to gl_q4, quality_score (of the latest event that scored), pdf_url, full_text."""
-    scored = F.coalesce(*[F.col(f"q{i}") for i in range(1, 5)]).isNotNull()
-    total = sum((F.coalesce(F.col(f"q{i}"), F.lit(0.0)) for i in range(1, 5)), F.lit(0.0))
-    own = [_latest(F.when(scored & (F.col("source") == s.upper()), F.coalesce(F.col(f"q{i}"), F.lit(0.0)))).alias(f"{s}_q{i}") for s in ("wl", "gl") for i in range(1, 5)]
-    return events.groupBy("paper_id").agg(*own, _latest(F.when(scored, total)).alias("quality_score"), _latest(F.col("pdf_url")).alias("pdf_url"), _latest(F.col("full_text")).alias("full_text"))
+    """paper_id, wl_q1 to gl_q4, wl_quality_score, quality_score (of grey literature), pdf_url, full_text.
+
+    Each source has its own scores and total; a scoring of one leaves the other's as they were.
+    """
+    of = lambda s: _scored() & (F.col("source") == s.upper())
+    own = [_latest(F.when(of(s), F.coalesce(F.col(f"q{i}"), F.lit(0.0)))).alias(f"{s}_q{i}") for s in ("wl", "gl") for i in range(1, 5)]
+    totals = [_latest(F.when(of(s), _total())).alias(name) for s, name in (("wl", "wl_quality_score"), ("gl", "quality_score"))]
+    return events.groupBy("paper_id").agg(*own, *totals, _latest(F.col("pdf_url")).alias("pdf_url"), _latest(F.col("full_text")).alias("full_text"))
+
+
+def score_events(events: DataFrame) -> DataFrame:
+    """The scorings among fact events as ``quality`` events of the decision store, which move a paper's state whatever their source."""
+    sets = {"seq": F.col("seq"), "paper_id": F.col("paper_id"), "kind": F.lit("quality"), "score": _total(), "reconcile": F.lit(False)}
+    return events.where(_scored()).select(*[sets.get(name, F.lit(None)).cast(t).alias(name) for name, t in (c.split(" ") for c in EVENT.split(", "))])
 
 
 def with_some(state: DataFrame) -> DataFrame:

@@ -64,17 +64,27 @@ def progress(total: int, current: DataFrame, calibrating: bool) -> DataFrame:
     return counted.withColumn("percent", F.when(F.col("total") > 0, F.round(100.0 * F.col("screened") / F.col("total"), 1)).otherwise(0.0))
 
 
-def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
-    """paper_id and verdict of a reviewers' CSV: ids in its first column, verdicts under ``Revisor 1``."""
+#: Place of the ids in a result sheet, whose second header is blank.
+ID_PLACE = 1
+
+
+def read_verdicts(spark: SparkSession, path: str, id_column: str | None = None) -> DataFrame:
+    """paper_id and verdict of a reviewers' CSV, as ``export`` writes it: ids in the second column or the one named, verdicts under ``Revisor 1``."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     if "Revisor 1" not in raw.columns:
         raise ValueError("no column named Revisor 1")
-    return raw.select(F.col(f"`{raw.columns[0]}`").alias("paper_id"), F.col("`Revisor 1`").alias("verdict"))
+    if id_column is not None and id_column not in raw.columns or len(raw.columns) <= ID_PLACE:
+        raise ValueError(f"no column {id_column or 'of ids'}")
+    return raw.select(F.col(f"`{id_column or raw.columns[ID_PLACE]}`").alias("paper_id"), F.col("`Revisor 1`").alias("verdict"))
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def seeded(verdicts: DataFrame, papers: DataFrame, seq: int) -> tuple[DataFrame, DataFrame]:
-    """(seed events, one row of imported, seeded) of (paper_id, verdict): YES and NO in any case and spacing, of papers in the dataset."""
-    said = verdicts.select("paper_id", F.upper(F.trim("verdict")).alias("verdict")).where(F.col("verdict").isin(*VERDICTS))
+    """(seed events, one row of imported, seeded) of (paper_id, verdict): YES and NO in any case and spacing, of papers in the dataset; ids are stripped."""
+    said = verdicts.select(_stripped(F.col("paper_id")).alias("paper_id"), F.upper(_stripped(F.col("verdict"))).alias("verdict")).where(F.col("verdict").isin(*VERDICTS))
     known = said.join(papers.select(F.col("id").alias("paper_id")), "paper_id", "left_semi")
     counts = papers.agg(F.count("*").alias("imported")).crossJoin(known.agg(F.count_distinct("paper_id").alias("seeded")))  # one row each
     return _events(known, seq, "seed", human_decision=F.col("verdict")), counts

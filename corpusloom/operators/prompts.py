@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RETRIEVED = "[Abstract retrieved automatically]"
+# Fixed value: the mark of an abstract that a catalogue gave, with a blank line after it.
+RETRIEVED = "[Abstract automatically retrieved via Crossref API]"
 
 
 def criteria_text(criteria: DataFrame, kind: str) -> str:
@@ -25,7 +26,7 @@ def examples_text(examples: DataFrame) -> str:
 def with_provenance(papers: DataFrame, found: DataFrame) -> DataFrame:
     """``papers`` with abstracts of (id, abstract) in place of empty ones, marked as retrieved."""
     own = F.nullif("abstract", F.lit(""))
-    marked = F.concat(F.lit(f"{RETRIEVED} "), F.col("_found"))
+    marked = F.concat(F.lit(f"{RETRIEVED}\n\n"), F.col("_found"))
     return papers.join(found.select("id", F.col("abstract").alias("_found")), "id", "left").withColumn("abstract", F.coalesce(own, marked, F.lit(""))).drop("_found")
 
 

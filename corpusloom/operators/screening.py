@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import normalize_title
+from corpusloom.sources.scratch import written
 
 #: Words that mark a record as no full paper.
 EC3_WORDS = ["poster", "editorial", "extended abstract", "keynote", "tutorial"]
 FIRST_YEAR = 2015
-#: Papers of one title that a task of the join takes together.
-RUN = 256
+#: Repeated titles that are sent to all tasks, at some 100 bytes each; of more the papers are shuffled.
+MOST_SENT = 1 << 17
 
 
 def rule_ec1() -> Column:
@@ -41,19 +42,20 @@ def mark_duplicates(papers: DataFrame, existing: DataFrame | None = None) -> Dat
     """``papers`` with is_duplicate (EC6).
 
     A paper without a decision is a duplicate if an earlier one of the same normalized title registered;
-    those without a decision or with a definitive one register. Ordinals are unique. Each title's least
-    registering ordinal is joined back, groups of more than RUN papers in runs of about that size.
+    those without a decision or with a definitive one register. Ordinals are unique. Each repeated title's least
+    registering ordinal is found by an aggregation and written; up to MOST_SENT of these are sent to all tasks, so
+    that papers stay where they lie. Of more, papers are joined by a shuffle, in which Spark splits a hot title's.
     """
     known = papers.withColumn("status", F.lit(None).cast("string")) if existing is None else papers.join(existing.select(F.col("paper_id").alias("id"), "status"), "id", "left")
     registers = F.col("status").isNull() | F.col("status").isin("INCLUDED", "EXCLUDED")
     key = normalize_title(F.col("title"))
     # null titles are a group of their own, and digests keep long titles out of the joins
-    keyed = known.withColumn("_key", F.sha2(F.concat(F.when(key.isNull(), "0").otherwise("1"), F.coalesce(key, F.lit(""))), 256))
-    firsts = keyed.groupBy("_key").agg(F.min(F.when(registers, F.col("ordinal"))).alias("_first"), F.count("*").alias("_n")).where("_n > 1").withColumn("_salts", F.ceil(F.col("_n") / RUN))
-    hot = firsts.where("_salts > 1").select("_key", "_salts")
-    salted = keyed.join(F.broadcast(hot), "_key", "left").withColumn("_salt", F.pmod(F.xxhash64("ordinal"), F.coalesce("_salts", F.lit(1))))
-    spread = firsts.select("_key", "_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)).alias("_salt"))
-    marked = salted.join(spread, ["_key", "_salt"], "left")
+    keyed = known.withColumn("_key", F.unhex(F.sha2(F.concat(F.when(key.isNull(), "0").otherwise("1"), F.coalesce(key, F.lit(""))), 256)))
+    counted = keyed.groupBy("_key").agg(F.min(F.when(registers, F.col("ordinal"))).alias("_first"), F.count("*").alias("_n"))
+    firsts = written(counted.where("_n > 1 and _first is not null").select("_key", "_first"), "titles")
+    if firsts.count() <= MOST_SENT:
+        firsts = F.broadcast(firsts)
+    marked = keyed.join(firsts, "_key", "left")
     return marked.select(*known.columns, (F.col("status").isNull() & F.coalesce(F.col("_first") < F.col("ordinal"), F.lit(False))).alias("is_duplicate"))
 
 

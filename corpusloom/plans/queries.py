@@ -81,10 +81,15 @@ def papers_view(spark: SparkSession, d: str) -> DataFrame:
     return papers(spark, d).select("ordinal", "id", "title", F.length("abstract").cast("long").alias("abstract_chars"), "source_type", "publication_year", m["Language"].alias("language"), m["Library"].alias("library"))
 
 
-@query("SELECT name, CASE WHEN regexp_matches(name, '(?i)(white|wl)') THEN 'WL' ELSE 'GL' END AS source_type FROM (VALUES ('White Lit'), ('GL web'), ('Grey WL'), ('notes')) v(name) WHERE regexp_matches(name, '(?i)(white|wl|grey|gl)')")
+#: Sheet names that stand for a workbook's, made of each document's source; the same SQL in both engines.
+_SHEET = "CASE CAST(substr(source, 4) AS INTEGER) % 5 WHEN 0 THEN 'White ' || source WHEN 1 THEN 'GL web' WHEN 2 THEN 'grey WL ' || source WHEN 3 THEN upper(lang) || ' grey' ELSE 'notes ' || lang END"
+
+
+@query(f"""WITH s AS (SELECT {_SHEET} AS name FROM documents) SELECT name, CASE WHEN regexp_matches(name, '(?i)(white|wl)') THEN 'WL' ELSE 'GL' END AS source_type, count(*) AS n
+FROM s WHERE regexp_matches(name, '(?i)(white|wl|grey|gl)') GROUP BY ALL""")
 def sheet_routing(spark: SparkSession, d: str) -> DataFrame:
-    names = spark.createDataFrame([("White Lit",), ("GL web",), ("Grey WL",), ("notes",)], "name string")
-    return names.withColumn("source_type", sheet_type(F.col("name"))).where("source_type is not null")
+    names = spark.read.parquet(f"{d}/documents.parquet").select(F.expr(_SHEET).alias("name"))
+    return names.groupBy("name").agg(F.count("*").alias("n")).select("name", sheet_type(F.col("name")).alias("source_type"), "n").where("source_type is not null")
 
 
 @query(f"WITH {_P} SELECT id, {_KEY} AS norm FROM papers")
@@ -243,15 +248,9 @@ def context_concat(spark: SparkSession, d: str) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda t: t["block"]), "\n\n").alias("context"))
 
 
-@query(f"WITH {_P} SELECT id, row_number() OVER (ORDER BY try_cast(id AS BIGINT) NULLS LAST, id) AS place FROM papers ORDER BY 2 LIMIT 100")
-def qa_order(spark: SparkSession, d: str) -> DataFrame:
-    first = papers(spark, d).select("id").orderBy(F.col("id").try_cast("bigint").asc_nulls_last(), "id").limit(100)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(F.col("id").try_cast("bigint").asc_nulls_last(), "id")).cast("long"))
-
-
 @query(f"WITH {_P} SELECT id, row_number() OVER (ORDER BY try_cast(id AS BIGINT) NULLS LAST, id) AS place FROM papers")
 def qa_order_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every paper's place; ``qa_order`` is the first page of it."""
+    """Every paper's place."""
     number = F.col("id").try_cast("bigint")
     return R.places(papers(spark, d).select("id"), number.isNull(), number, F.col("id"))
 

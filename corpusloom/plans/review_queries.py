@@ -118,24 +118,17 @@ def few_shot(spark: SparkSession, d: str) -> DataFrame:
     return sampling.few_shot(decisions(spark, d), 3, SEED).select("paper_id", "human_decision")
 
 
-@query(f"""WITH {_D}, m AS (SELECT * FROM dec WHERE human_decision IS NOT NULL AND doc_id % 3 = 0) SELECT CAST(count_if(status <> 'NEEDS_REVIEW') AS BIGINT) AS total_audited,
-  round(avg(doc_id % 9 / 2.0), 2) AS avg_quality, count(*) AS n_quality FROM m""")
-def audit_quality(spark: SparkSession, d: str) -> DataFrame:
-    audited = decisions(spark, d).where((F.col("doc_id") % 3 == 0) & F.col("human_decision").isNotNull())
-    return audited.agg(F.count_if(F.col("status") != "NEEDS_REVIEW").alias("total_audited"), F.round(F.avg(F.col("doc_id") % 9 / 2.0), 2).alias("avg_quality"), F.count("*").alias("n_quality"))
-
-
 @query(f"""WITH {_D}, m AS (SELECT *, doc_id % 9 / 2.0 AS score FROM dec) SELECT CAST(count_if(status <> 'NEEDS_REVIEW' AND human_decision IS NOT NULL) AS BIGINT) AS total_audited,
   coalesce(round(avg(score), 2), 0) AS avg_quality, count(score) AS n_quality FROM m""")
 def audit_quality_all(spark: SparkSession, d: str) -> DataFrame:
-    """Over every scored row; ``audit_quality`` is over the papers whose id is a multiple of 3."""
+    """Over every scored row."""
     return R.quality_stats(decisions(spark, d).withColumn("score", F.col("doc_id") % 9 / 2.0))
 
 
 @query(f"""WITH {_P}, {_D} SELECT source_type, CAST(row_number() OVER (PARTITION BY source_type ORDER BY id) AS INTEGER) AS number, id FROM papers JOIN dec ON id = paper_id WHERE status <> 'NEEDS_REVIEW'""")
 def sheet_numbers(spark: SparkSession, d: str) -> DataFrame:
     kept = papers(spark, d).join(decisions(spark, d).where("status <> 'NEEDS_REVIEW'").select(F.col("paper_id").alias("id")), "id", "left_semi")
-    return R.numbered(kept.select("source_type", "id"), "source_type", "id")
+    return R.places(kept.select("source_type", "id"), F.col("id"), group=("source_type",), name="number").withColumn("number", F.col("number").cast("int"))
 
 
 #: ``events`` as a decision log; the same SQL in both engines.

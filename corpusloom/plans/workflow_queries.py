@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import export, facts, lifecycle, listing, prompts, store
+from corpusloom.operators import review as R
 from corpusloom.operators import screening as S
 from corpusloom.plans.queries import _D, _KEY, _P, ORDER, query
 from corpusloom.sources.papers import decisions, papers
+from corpusloom.sources.scratch import fresh_path
 
 #: Fact events from ``labels``: two scorings a paper, the second of every other one; the first line of a text as what was fetched.
 _FACTS = """fe AS (
@@ -17,10 +19,10 @@ _FACTS = """fe AS (
   UNION ALL SELECT 2, CAST(doc_id AS VARCHAR), 'GL', (doc_id % 7) / 6.0, 1.0, 1.0, 0.5, NULL, 'page of ' || doc_id FROM labels WHERE doc_id % 4 = 1
 ), fs AS (SELECT *, coalesce(q1, q2, q3, q4) IS NOT NULL AS scored, coalesce(q1, 0) + coalesce(q2, 0) + coalesce(q3, 0) + coalesce(q4, 0) AS total FROM fe),
 facts AS (SELECT paper_id, """ + ", ".join(f"arg_max(coalesce(q{i}, 0), seq) FILTER (scored AND source = '{s.upper()}') AS {s}_q{i}" for s in ("wl", "gl") for i in range(1, 5)) + """,
-  arg_max(total, seq) FILTER (scored) AS quality_score, arg_max(pdf_url, seq) FILTER (pdf_url IS NOT NULL) AS pdf_url, arg_max(full_text, seq) FILTER (full_text IS NOT NULL) AS full_text FROM fs GROUP BY paper_id)"""
+  arg_max(total, seq) FILTER (scored AND source = 'WL') AS wl_quality_score, arg_max(total, seq) FILTER (scored AND source = 'GL') AS quality_score, arg_max(pdf_url, seq) FILTER (pdf_url IS NOT NULL) AS pdf_url, arg_max(full_text, seq) FILTER (full_text IS NOT NULL) AS full_text FROM fs GROUP BY paper_id)"""
 
 
-def _facts(spark: SparkSession, d: str) -> DataFrame:
+def _fact_events(spark: SparkSession, d: str) -> DataFrame:
     of, i = spark.read.parquet(f"{d}/labels.parquet"), F.col("doc_id")
     null = lambda t: F.lit(None).cast(t)
     first = of.select(
@@ -31,14 +33,36 @@ def _facts(spark: SparkSession, d: str) -> DataFrame:
         F.lit(2).cast("long").alias("seq"), i.cast("string").alias("paper_id"), F.lit("GL").alias("source"), (i % 7 / 6.0).alias("q1"), F.lit(1.0).alias("q2"), F.lit(1.0).alias("q3"), F.lit(0.5).alias("q4"),
         null("string").alias("pdf_url"), F.concat(F.lit("page of "), i).alias("full_text"),
     )
-    return facts.facts(first.unionByName(second))
+    return first.unionByName(second)
+
 
+def _facts(spark: SparkSession, d: str) -> DataFrame:
+    return facts.facts(_fact_events(spark, d))
 
-@query(f"WITH {_FACTS} SELECT paper_id, " + ", ".join(facts.SCORES) + ", quality_score, pdf_url, full_text FROM facts WHERE gl_q1 IS NOT NULL OR wl_q1 IS NOT NULL OR pdf_url IS NOT NULL OR full_text IS NOT NULL")
+
+@query(f"WITH {_FACTS} SELECT paper_id, " + ", ".join(facts.SCORES) + ", wl_quality_score, quality_score, pdf_url, full_text FROM facts WHERE gl_q1 IS NOT NULL OR wl_q1 IS NOT NULL OR pdf_url IS NOT NULL OR full_text IS NOT NULL")
 def quality_map(spark: SparkSession, d: str) -> DataFrame:
     return facts.with_some(_facts(spark, d))
 
 
+def _moved(seq: int, state: str) -> str:
+    """SQL of a scoring's effect on status and code."""
+    return f"""m{seq} AS (SELECT s.paper_id, CASE WHEN f.total < 2 THEN 'EXCLUDED' WHEN f.total >= 2 AND s.status = 'EXCLUDED' AND s.code = 'QC_FAIL' THEN 'INCLUDED' ELSE s.status END AS status,
+  CASE WHEN f.total < 2 THEN 'QC_FAIL' WHEN f.total >= 2 AND s.status = 'EXCLUDED' AND s.code = 'QC_FAIL' THEN '' ELSE s.code END AS code
+FROM {state} s LEFT JOIN (SELECT * FROM fs WHERE seq = {seq} AND scored) f USING (paper_id))"""
+
+
+@query(f"""WITH {_D}, {_FACTS}, m0 AS (SELECT paper_id, status, coalesce(code, '') AS code FROM dec), {_moved(1, "m0")}, {_moved(2, "m1")}
+SELECT paper_id, status, code AS codes, wl_quality_score, quality_score FROM m2 LEFT JOIN facts USING (paper_id)""")
+def quality_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Scores by source, and the state of each paper after all of its scorings."""
+    scored = _fact_events(spark, d)
+    made = lifecycle._events(decisions(spark, d), 0, "decide", status=F.col("status"), codes=F.col("codes"), confidence=F.lit(1.0))
+    current = store.state(made.unionByName(facts.score_events(scored)))
+    known = facts.facts(scored).select("paper_id", "wl_quality_score", "quality_score")
+    return current.select("paper_id", "status", F.array_join("codes", ";").alias("codes")).join(known, "paper_id", "left")
+
+
 @query(f"WITH {_P}, {_D}, {_FACTS} SELECT d.paper_id, f.full_text, md5(coalesce(nullif(f.full_text, ''), nullif(p.abstract, ''), '(no content available)')) AS content FROM dec d LEFT JOIN facts f USING (paper_id) JOIN papers p ON p.id = d.paper_id WHERE d.status = 'INCLUDED'")
 def included_content(spark: SparkSession, d: str) -> DataFrame:
     joined = facts.included(decisions(spark, d), _facts(spark, d)).join(papers(spark, d).select(F.col("id").alias("paper_id"), "abstract"), "paper_id")
@@ -144,6 +168,29 @@ def auto_calibration(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.in_calibration(_current(spark, d))
 
 
+@query(f"""WITH {_LOG_SQL}, {_FACTS}, n AS (SELECT count_if(is_calibration) > 0 AS cal FROM cur WHERE is_audited),
+u AS (SELECT * FROM cur, n WHERE is_audited AND (is_calibration OR NOT cal)),
+m AS (SELECT any_value(cal) AS calibration_used, CAST(count_if(status <> 'NEEDS_REVIEW') AS BIGINT) AS total_audited, CAST(count_if(status = 'INCLUDED' AND human_decision = 'YES') AS BIGINT) AS tp, CAST(count_if(status = 'EXCLUDED' AND human_decision = 'NO') AS BIGINT) AS tn,
+  CAST(count_if(status = 'INCLUDED' AND human_decision = 'NO') AS BIGINT) AS fp, CAST(count_if(status = 'EXCLUDED' AND human_decision = 'YES') AS BIGINT) AS fn FROM u),
+r AS (SELECT *, CAST(tp + tn + fp + fn AS DOUBLE) AS n, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM m),
+k AS (SELECT *, (tp + tn) / n AS po, ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n) AS pe FROM r),
+q AS (SELECT *, coalesce((po - pe) / nullif(1 - pe, 0), 0) AS kp FROM k)
+SELECT total_audited, calibration_used, tp, tn, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1, round(kp, 4) AS kappa,
+  CASE WHEN kp < 0.4 THEN 'Poor' WHEN kp < 0.6 THEN 'Moderate' WHEN kp < 0.8 THEN 'Substantial' ELSE 'Almost perfect' END AS interpretation,
+  (SELECT coalesce(round(avg(quality_score), 2), 0) FROM facts) AS avg_quality, (SELECT count(quality_score) FROM facts) AS n_quality FROM q""")
+def audit_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return R.audit_metrics(_current(spark, d), _facts(spark, d))
+
+
+@query(f"WITH {_P}, {_D} SELECT paper_id, human_decision FROM dec JOIN papers ON id = paper_id WHERE status <> 'NEEDS_REVIEW' AND source_type = 'WL'")
+def verdicts_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The verdicts of an exported sheet, written as CSV and read back as a reviewer's file."""
+    sheet = export.sheet(papers(spark, d), decisions(spark, d), _facts(spark, d), "WL")
+    path = fresh_path(spark, "sheet")
+    export.write_csv(sheet, "WL", path)
+    return lifecycle.seeded(lifecycle.read_verdicts(spark, path), papers(spark, d), 1)[0].select("paper_id", "human_decision")
+
+
 _SAID = "CASE doc_id % 4 WHEN 0 THEN ' yes ' WHEN 1 THEN 'No' WHEN 2 THEN 'maybe' END"
 
 

@@ -1,3 +1,6 @@
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import html_text, normalize_title
@@ -49,9 +52,22 @@ def test_duplicates_in_hot_groups(spark):
         assert "Window" not in marked._jdf.queryExecution().toString()
 
 
-def test_exports_are_numbered_in_chunks(spark):
-    for name in ("export_wl", "export_gl"):
-        assert "windowspecdefinition(_chunk" in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+@pytest.mark.parametrize("sent", [S.MOST_SENT, 0])
+def test_duplicates_by_both_joins(spark, monkeypatch, sent):
+    monkeypatch.setattr(S, "MOST_SENT", sent)
+    df = spark.createDataFrame([(i, str(i), f"title {i % 40}" if i % 2 else "hot") for i in range(400)], "ordinal long, id string, title string").repartition(4)
+    marked = S.mark_duplicates(df)
+    assert {int(r.id) for r in marked.where("not is_duplicate").collect()} == {0, *range(1, 41, 2)}
+
+
+def test_numbering_within_groups(spark, monkeypatch):
+    """Ids with one prefix, in groups of unlike size, one of them null."""
+    rows = [(g, f"paper-{i:06d}") for g, n in (("WL", 3000), ("GL", 40), (None, 7)) for i in range(n)]
+    df = spark.createDataFrame(rows, "source_type string, id string").repartition(5)
+    for most in (R.MOST_SENT, 0):
+        monkeypatch.setattr(R, "MOST_SENT", most)
+        got = R.places(df, F.col("id"), group=("source_type",), name="number")
+        assert Counter((r.source_type, r.id, r.number) for r in got.collect()) == Counter((g, i, int(i[6:]) + 1) for g, i in rows)
 
 
 def test_codes_and_quality(spark):

@@ -53,7 +53,7 @@ def test_listing_checks_its_arguments(world, bad):
 def test_facts(world):
     got = {r.paper_id: r for r in world[2].collect()}
     assert (got["2"].gl_q3, got["2"].wl_q1, got["2"].pdf_url, got["2"].full_text) == (0.0, None, "http://x/2.pdf", "fetched")
-    assert got["1"].quality_score == 1.5 and facts.with_some(world[2]).count() == 2
+    assert (got["1"].quality_score, got["1"].wl_quality_score, got["2"].quality_score, got["2"].wl_quality_score) == (None, 1.5, 2.5, None) and facts.with_some(world[2]).count() == 2
     assert {(r.paper_id, r.full_text) for r in facts.included(world[1], world[2]).collect()} == {("1", None), ("4", None), ("9", None)}
 
 
@@ -139,12 +139,59 @@ def test_calibration_round(spark, tmp_path):
 
 
 def test_verdicts_from_csv(spark, world, tmp_path):
-    (tmp_path / "v.csv").write_text("ID,Title,Revisor 1\n1,t, yes \n3,t,No\n77,t,YES\n4,t,perhaps\n5,t,\n")
+    (tmp_path / "v.csv").write_text("Library,,#,Revisor 1\nACM, 1\u00a0,1, yes \nACM,3,2,No\nACM,77,3,YES\nACM,4,4,perhaps\nACM,5,5,\n")
     events, counts = lifecycle.seeded(lifecycle.read_verdicts(spark, str(tmp_path / "v.csv")), world[0], 1)
     assert {(r.paper_id, r.human_decision) for r in events.collect()} == {("1", "YES"), ("3", "NO")} and tuple(counts.first()) == (5, 2)
+    (tmp_path / "named.csv").write_text("ID,Title,Revisor 1\n1,t,NO\n")
+    named = lifecycle.read_verdicts(spark, str(tmp_path / "named.csv"), "ID")
+    assert [tuple(r) for r in named.collect()] == [("1", "NO")]
     (tmp_path / "w.csv").write_text("ID,Title\n1,t\n")
     with pytest.raises(ValueError, match="Revisor"):
         lifecycle.read_verdicts(spark, str(tmp_path / "w.csv"))
+    with pytest.raises(ValueError, match="Nr"):
+        lifecycle.read_verdicts(spark, str(tmp_path / "v.csv"), "Nr")
+
+
+def test_an_exported_sheet_can_be_read_back(spark, world, tmp_path):
+    sheet = export.sheet(*world, "WL")
+    export.write_csv(sheet, "WL", str(tmp_path / "folder"))
+    export.write_zip({"WL": sheet}, str(tmp_path / "r.zip"), {"WL": "white.csv"})
+    with zipfile.ZipFile(tmp_path / "r.zip") as z:
+        z.extract("white.csv", tmp_path)
+    for path in ("folder", "white.csv"):
+        events, counts = lifecycle.seeded(lifecycle.read_verdicts(spark, str(tmp_path / path)), world[0], 1)
+        assert [(r.paper_id, r.human_decision) for r in events.collect()] == [("1", "YES")] and counts.first().seeded == 1
+
+
+def test_flat_results(world):
+    got = export.results(world[0], world[1])
+    assert got.columns == export.RESULT
+    assert {tuple(r) for r in got.collect()} == {("1", "A tale", "", "of the sea", "WL", "INCLUDED", "", "IC1; IC2"), ("2", "Another Tale", "", "", "GL", "EXCLUDED", "", "EC3"), ("4", "Empty", "", "", "GL", "INCLUDED", "", ""), ("5", "Last\x01 & <one>", "", "x\ny", "WL", "NEEDS_REVIEW", "", "")}
+
+
+def test_scores_move_the_state(spark):
+    log = spark.createDataFrame([("1", "EXCLUDED", ["EC3"]), ("2", "INCLUDED", ["IC1"]), ("3", "NEEDS_REVIEW", [])], "paper_id string, status string, codes array<string>")
+    made = lifecycle._events(log, 0, "decide", status=F.col("status"), codes=F.col("codes"), confidence=F.lit(1.0))
+    scores = [(1, "1", "GL", 1.0, 1.0, 0.0, 0.0, None, None), (1, "2", "WL", 0.5, 0.5, None, None, None, None), (2, "2", "GL", 1.0, 1.0, 1.0, 1.0, None, None), (1, "3", "WL", 0.0, 0.0, 0.0, 0.0, None, None), (1, "8", "GL", 0.0, 0.0, 0.0, 0.0, None, None), (2, "3", "GL", None, None, None, None, "u", None)]
+    events = facts.score_events(spark.createDataFrame(scores, FACT))
+    assert {(r.paper_id, r.status, tuple(r.codes)) for r in store.state(made.unionByName(events)).collect()} == {("1", "EXCLUDED", ("EC3",)), ("2", "INCLUDED", ()), ("3", "EXCLUDED", ("QC_FAIL",))}
+
+
+def test_audit_metrics_choose_their_source(spark):
+    from corpusloom.operators import review
+
+    state = "paper_id string, status string, human_decision string, is_audited boolean, is_calibration boolean"
+    known = facts.facts(spark.createDataFrame([(1, "1", "GL", 1.0, 0.5, 1.0, 0.17, None, None), (1, "2", "WL", 1.0, 1.0, 1.0, 1.0, None, None)], FACT))
+    rows = [("1", "INCLUDED", "YES", True, False), ("2", "EXCLUDED", "NO", True, False), ("3", "INCLUDED", "NO", True, False), ("4", "NEEDS_REVIEW", "NO", True, False), ("5", "INCLUDED", "YES", False, True)]
+    got = lambda rows: review.audit_metrics(spark.createDataFrame(rows, state), known).first()
+    r = got(rows)
+    assert (r.total_audited, r.calibration_used, r.tp, r.tn, r.fp, r.fn, r.precision, r.avg_quality, r.n_quality) == (3, False, 1, 1, 1, 0, 0.5, 2.67, 1)
+    r = got([*rows, ("6", "EXCLUDED", "YES", True, True)])
+    assert (r.total_audited, r.calibration_used, r.fn, r.tp, r.kappa) == (1, True, 1, 0, 0.0)
+    r = got([*rows, ("6", "NEEDS_REVIEW", "YES", True, True)])
+    assert (r.total_audited, r.calibration_used, r.interpretation, r.n_quality) == (1, True, review.NO_PAIRS, 0)
+    r = got([("5", "INCLUDED", "YES", False, True)])
+    assert (r.total_audited, r.calibration_used, r.interpretation, r.f1) == (0, False, review.NO_AUDITS, 0.0)
 
 
 def test_prompts(spark, world):
@@ -154,10 +201,10 @@ def test_prompts(spark, world):
     assert got["1"] == "Include if:\nIC1: good\n\nExclude if:\nEC1: bad\n\nTitle: A tale\nAbstract: of the sea"
     assert "web source" in got["2"] and got["3"].endswith("Title: \nAbstract: tale")
     found = spark.createDataFrame([("2", "text"), ("1", "other")], "id string, abstract string")
-    assert {r.id: r.abstract for r in prompts.with_provenance(world[0], found).collect()} == {"1": "of the sea", "2": "[Abstract retrieved automatically] text", "3": "tale", "4": "", "5": "x\ny"}
+    assert {r.id: r.abstract for r in prompts.with_provenance(world[0], found).collect()} == {"1": "of the sea", "2": "[Abstract automatically retrieved via Crossref API]\n\ntext", "3": "tale", "4": "", "5": "x\ny"}
     scorer = lambda p: p.where("id <> '3'").select(F.col("id").alias("paper_id"), *[F.lit(0.5).alias(f"q{i}") for i in range(1, 5)])
     scored = facts.facts(prompts.quality_events(world[0], scorer, 1))
-    assert {(r.paper_id, r.wl_q1, r.gl_q1, r.quality_score) for r in scored.collect()} == {("1", 0.5, None, 2.0), ("2", None, 0.5, 2.0), ("4", None, 0.5, 2.0), ("5", 0.5, None, 2.0)}
+    assert {(r.paper_id, r.wl_q1, r.gl_q1, r.quality_score, r.wl_quality_score) for r in scored.collect()} == {("1", 0.5, None, None, 2.0), ("2", None, 0.5, 2.0, None), ("4", None, 0.5, 2.0, None), ("5", 0.5, None, None, 2.0)}
 
 
 def test_classifier_without_and_with_a_model(spark):
