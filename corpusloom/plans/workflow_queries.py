@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import export, facts, lifecycle, listing, prompts, store
+from corpusloom.operators import export, facts, lifecycle, listing, prompts, search_index, store
 from corpusloom.operators import review as R
 from corpusloom.operators import screening as S
 from corpusloom.plans.queries import _D, _KEY, _P, ORDER, query
@@ -228,3 +228,16 @@ def prompt_table(spark: SparkSession, d: str) -> DataFrame:
     examples = every.select("id", "title").join(picked, "id")
     criteria = spark.createDataFrame(_CRITERIA, "code string, type string, description string")
     return prompts.prompts(every, criteria, examples).select("id", F.md5("prompt").alias("prompt"))
+
+
+@query(f"WITH {_P} SELECT id FROM papers WHERE contains(lower(title), 'tion') OR contains(lower(abstract), 'tion')")
+def search_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """A substring search by the posting index, which is made here of all papers."""
+    path = fresh_path(spark, "index")
+    search_index.add(papers(spark, d), path, 0)
+    return search_index.search(spark, path, "Tion")
+
+
+@query(f"WITH {_P}, {_D} SELECT id AS Global_ID, title AS Title, '' AS URL, abstract AS Abstract, source_type AS Source_Type, status AS Status, '' AS Rationale, coalesce(code, '') AS Applied_Criteria FROM papers JOIN dec ON id = paper_id")
+def flat_results(spark: SparkSession, d: str) -> DataFrame:
+    return export.results(papers(spark, d), decisions(spark, d))
