@@ -17,11 +17,23 @@ def alnum_key(title: Column) -> Column:
     return F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}]", "")
 
 
+#: Elements whose content isn't visible.
+HIDDEN = ("script", "style", "nav", "footer", "header")
+# Each alternative reads on to its end, or to the text's end if it has none, so no place is read twice by a later match.
+# The same patterns hold in engines without back-references.
+HIDDEN_PATTERN = "(?is)" + "|".join([rf"<{tag}\b.*?(?:</{tag}\s*>|\z)" for tag in HIDDEN] + [r"<!--.*?(?:-->|\z)"])
+TAG_PATTERN = r"(?s)</?[A-Za-z!?][^>]*(?:>|\z)"
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
 def html_text(html: Column, lines: int = 200) -> Column:
-    """Visible text: non-blank lines, trimmed, the first ``lines`` of them."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|nav|footer|header)\b.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>", "")
-    text = F.regexp_replace(bare, r"<[^>]+>", "\n")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    """Visible text: non-blank lines, trimmed, the first ``lines`` of them, in time linear in the page.
+
+    A hidden element or comment that isn't closed hides the rest, and a tag that isn't closed ends with the page. Of hidden elements of
+    one kind within each other the first end closes all.
+    """
+    text = F.regexp_replace(F.regexp_replace(html, HIDDEN_PATTERN, "\n"), TAG_PATTERN, "\n")
+    for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     kept = F.filter(F.transform(F.split(text, "\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
     return F.array_join(F.slice(kept, 1, lines), "\n")

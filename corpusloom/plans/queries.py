@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import alnum_key, html_text, normalize_title
+from corpusloom.functions.text import ENTITIES, HIDDEN_PATTERN, TAG_PATTERN, alnum_key, html_text, normalize_title
 from corpusloom.operators import review as R
 from corpusloom.operators import screening as S
 from corpusloom.sources.papers import decisions, papers, sheet_type
@@ -255,6 +255,15 @@ def qa_order_all(spark: SparkSession, d: str) -> DataFrame:
     return R.places(papers(spark, d).select("id"), number.isNull(), number, F.col("id"))
 
 
-@query(None)
+def _text_sql(html: str, lines: int = 200) -> str:
+    """SQL of a page's visible text."""
+    text = f"regexp_replace(regexp_replace({html}, '{HIDDEN_PATTERN}', chr(10), 'g'), '{TAG_PATTERN}', chr(10), 'g')"
+    for entity, char in ENTITIES:
+        text = f"replace({text}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    stripped = r"regexp_replace(s, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
+    return f"array_to_string(list_filter(list_transform(string_split({text}, chr(10)), lambda s: {stripped}), lambda s: s <> '')[1:{lines}], chr(10))"
+
+
+@query(f"SELECT page_id, {_text_sql('html')} AS text FROM pages")
 def page_text(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", html_text(F.col("html")).alias("text"))

@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 
 import pytest
@@ -84,6 +85,57 @@ def test_text(spark):
     assert one.select(html_text(F.lit(page))).first()[0] == "A & b\nc"
 
 
+def visible(page):
+    """By the standard library's parser: text outside of hidden elements, which end with the page if nothing closes them."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.hidden, self.out = [], []
+
+        def handle_starttag(self, tag, attrs):
+            self.out.append("\n")
+            if tag in ("script", "style", "nav", "footer", "header"):
+                self.hidden.append(tag)
+
+        def handle_endtag(self, tag):
+            self.out.append("\n")
+            if tag in self.hidden:
+                del self.hidden[self.hidden.index(tag) :]
+
+        def handle_comment(self, data):
+            self.out.append("\n")
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.out.append(data)
+
+    r = Reader()
+    r.feed(page)
+    r.close()
+    return "\n".join([x.strip() for x in "".join(r.out).split("\n") if x.strip()][:200])
+
+
+def test_page_text_is_that_of_a_parser(spark):
+    pages = [
+        "<p>a<nav>b<script>if (x < 1) { y() }</script>c</nav>d</p>", "a<nav>b", "x<!-- c <p> -->y", "<style>p > a {}</style>t", "one<br/>two<BR>three<footer >f</FOOTER >end",
+        "a < b and c", "<header>h<nav>n</nav>still</header>after", "<navigation>seen</navigation>", "&lt;p&gt; &amp; &quot;q&quot;", "", "<!DOCTYPE html><html><body>b</body></html>", "\n".join(f"<p>{i}</p>" for i in range(300)),
+    ]
+    got = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string").select("i", html_text(F.col("html")).alias("t")).collect()
+    assert {r.i: r.t for r in got} == {i: visible(p) for i, p in enumerate(pages)}
+
+
+@pytest.mark.parametrize("part", ["<nav>", "<script>", "<!--", "<a ", "<", "</", "<nav><footer>"])
+def test_page_text_is_linear(spark, part):
+    page = part * (1_000_000 // len(part))
+    df = spark.createDataFrame([(page,)], "html string").select(html_text(F.col("html")).alias("t"))
+    df.limit(0).collect()
+    began = time.time()
+    df.collect()
+    assert time.time() - began < 5
+
+
 def test_csv(spark, tmp_path):
     path = tmp_path / "p.csv"
     path.write_text('Global_ID,Title,URL,Abstract,Year,Provenance_Trace,Authors\n01,"A ""q""",,x,2023.0,wl:ACM,Me\n2,B,http://b,,,gl:web,\n')
