@@ -50,14 +50,24 @@ def state(log: DataFrame) -> DataFrame:
     live = log.where(kind != "delete").join(gone, "paper_id", "left").where(F.col("_gone").isNull() | (F.col("seq") > F.col("_gone")))
     made = live.where(kind.isin(*MAKES)).groupBy("paper_id").agg(F.min("seq").alias("_made"))
     live = live.join(made, "paper_id").where(F.col("seq") >= F.col("_made"))
+    return finished(live.groupBy("paper_id").agg(*summaries()))
+
+
+def summaries(of: Column | None = None) -> list[Column]:
+    """What a paper's state follows from, as maxima over its events, or over those of them for which ``of`` holds."""
+    kind = F.col("kind") if of is None else F.when(of, F.col("kind"))
     decide, quality, verdict, flags = kind == "decide", kind == "quality", kind.isin("seed", "audit"), kind.isin("seed", "flag", "unflag")
     rewrite = (kind == "audit") & F.col("reconcile")
-    folded = live.groupBy("paper_id").agg(
+    return [
         _seq(decide).alias("_decided"), _last(decide, F.struct("status", "codes", "confidence")).alias("_d"),
         _last(verdict, F.col("human_decision")).alias("human_decision"), _seq(verdict).alias("_audited"),
-        _last(flags, kind != "unflag").alias("_flag"), _seq(quality).alias("_scored"), _last(quality, F.col("score")).alias("score"),
+        _last(flags, kind != "unflag").alias("_flag"), _seq(flags).alias("_flagged"), _seq(quality).alias("_scored"), _last(quality, F.col("score")).alias("score"),
         _seq(quality & (F.col("score") < FAIL_BELOW)).alias("_failed"), _seq(rewrite).alias("_rewritten"), _last(rewrite, F.col("human_decision")).alias("_verdict"),
-    )
+    ]
+
+
+def finished(folded: DataFrame) -> DataFrame:
+    """The state of papers whose summaries are in columns."""
     none = F.array().cast("array<string>")
     base = F.coalesce(F.col("_d"), F.struct(F.lit("NEEDS_REVIEW").alias("status"), none.alias("codes"), F.lit(0.0).alias("confidence")))
     since = F.coalesce(F.col("_decided"), F.lit(-1))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.response import parse_answer, parse_quality
-from corpusloom.operators import classifier, linking, sampling, store
+from corpusloom.operators import classifier, linking, runs, sampling, store
 from corpusloom.operators import review as R
-from corpusloom.plans.queries import _D, _P, query
+from corpusloom.plans.queries import _D, _P, ORACLE, query
 from corpusloom.sources.papers import decisions, papers
+from corpusloom.sources.scratch import fresh_path
 
 SIZE, SEED = 100, 42
 
@@ -154,8 +155,42 @@ s AS (
   FROM s JOIN l ON l.paper_id = s.paper_id AND l.k = s.k + 1)
 SELECT paper_id, status, code AS codes, human_decision, audited AS is_audited, cal AS is_calibration, score FROM s JOIN (SELECT paper_id, max(k) AS k FROM l GROUP BY paper_id) USING (paper_id, k) WHERE there""")
 def store_state(spark: SparkSession, d: str) -> DataFrame:
-    log = spark.read.parquet(f"{d}/events.parquet").selectExpr(*_columns(LOG)).withColumns({"codes": F.filter(F.array("code"), lambda c: c != ""), "confidence": F.lit(1.0), "reconcile": F.lit(False)})
-    return store.state(log).select("paper_id", "status", F.array_join("codes", ";").alias("codes"), "human_decision", "is_audited", "is_calibration", "score")
+    return _shown(store.state(_log(spark, d)))
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/events.parquet").selectExpr(*_columns(LOG)).withColumns({"codes": F.filter(F.array("code"), lambda c: c != ""), "confidence": F.lit(1.0), "reconcile": F.lit(False)})
+
+
+def _shown(state: DataFrame) -> DataFrame:
+    return state.select("paper_id", "status", F.array_join("codes", ";").alias("codes"), "human_decision", "is_audited", "is_calibration", "score")
+
+
+#: Shares of the log, by seq, that are added to the store of runs one after another: the last ones stay runs of their own.
+SHARES = (0.0, 0.7, 0.85, 0.95, 0.99, 1.0)
+
+
+def _runs(spark: SparkSession, d: str) -> str:
+    """The log in a store of runs, taken in by batches."""
+    log, path = _log(spark, d), fresh_path(spark, "runs")
+    least, most = log.agg(F.min("seq"), F.max("seq")).first()
+    cuts = [least + int((most - least + 1) * share) for share in SHARES] if least is not None else [0] * len(SHARES)
+    for batch, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        runs.add(log.where(F.col("seq").between(a, b - 1)), path, batch)
+    return path
+
+
+@query(ORACLE["store_state"])
+def compacted_state(spark: SparkSession, d: str) -> DataFrame:
+    """The state by merged runs."""
+    return _shown(runs.state(spark, _runs(spark, d)))
+
+
+@query(f"""SELECT s.* FROM ({ORACLE["store_state"]}) s WHERE paper_id IN (SELECT CAST(doc_id * 3 AS VARCHAR) FROM labels)""")
+def decision_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The decisions of the ids that ``labels`` names, from the store of runs."""
+    ids = spark.read.parquet(f"{d}/labels.parquet").select((F.col("doc_id") * 3).cast("string").alias("paper_id"))
+    return _shown(runs.decisions_of(spark, _runs(spark, d), ids))
 
 
 def _columns(sql: str) -> list[str]:
