@@ -41,3 +41,27 @@ def html_text(html: Column, lines: int = 200) -> Column:
 
 def safe_div(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
+
+
+#: Control characters whose escape has a letter; they are written in lower case here.
+_LETTERED = [f"{i:02X}" for i in (*range(0x0B, 0x0C), *range(0x0E, 0x10), *range(0x1A, 0x20))]
+
+
+def _json_string(text: Column) -> Column:
+    written = F.to_json(F.array(text))
+    written = F.substring(written, F.lit(2), F.length(written) - 2)
+    fixed = written
+    for code in _LETTERED:  # an even number of backslashes before it is escaped ones
+        fixed = F.regexp_replace(fixed, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}")
+    return F.when(text.isNull(), "null").when(written.contains("\\u00"), fixed).otherwise(written)
+
+
+def json_list(texts: Column) -> Column:
+    """Texts as a JSON list, with a space after each comma, and nothing but what must be escaped. A null list gives null, a null text ``null``."""
+    return F.concat(F.lit("["), F.array_join(F.transform(texts, _json_string), ", "), F.lit("]"))
+
+
+def json_object(pairs: Column) -> Column:
+    """A map of texts as a JSON object, in the map's order, with a space after each comma and colon."""
+    entries = F.transform(F.map_entries(pairs), lambda e: F.concat(_json_string(e["key"]), F.lit(": "), _json_string(e["value"])))
+    return F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}"))

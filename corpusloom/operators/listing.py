@@ -67,3 +67,10 @@ def list_papers(papers: DataFrame, decisions: DataFrame, facts: DataFrame, page:
     library = F.coalesce(F.nullif(F.col("metadata")["Detected_Source"], F.lit("")), F.nullif(F.col("metadata")["Library"], F.lit("")), F.lit("Unknown"))
     rows = rows.withColumn("source_library", library).withColumn("codes", F.coalesce("codes", F.array().cast("array<string>")))
     return rows.drop("metadata").orderBy("ordinal", "id"), counts
+
+
+def calibration(papers: DataFrame, current: DataFrame) -> DataFrame:
+    """The papers of the calibration sample by id, with what was decided of them; flagged papers that aren't in the dataset are left out."""
+    flagged = current.where("is_calibration").select(F.col("paper_id").alias("id"), "status", "codes", "human_decision")
+    said = F.when(F.col("status") == "INCLUDED", "YES").when(F.col("status") == "EXCLUDED", "NO").otherwise("NEEDS_REVIEW")
+    return papers.join(flagged, "id").select(F.col("id").alias("paper_id"), "title", "abstract", "source_type", said.alias("ai_decision"), "codes", "human_decision").orderBy("paper_id")

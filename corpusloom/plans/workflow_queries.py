@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import export, facts, lifecycle, listing, prompts, search_index, store
+from corpusloom.functions.text import json_list, json_object
+from corpusloom.operators import criteria, export, facts, lifecycle, linking, listing, prompts, search_index, store
 from corpusloom.operators import review as R
 from corpusloom.operators import screening as S
 from corpusloom.plans.queries import _D, _KEY, _P, ORDER, query
@@ -226,8 +227,8 @@ def prompt_table(spark: SparkSession, d: str) -> DataFrame:
     every = papers(spark, d)
     picked = sampling.few_shot(decisions(spark, d), 3, 42).select(F.col("paper_id").alias("id"), "human_decision")
     examples = every.select("id", "title").join(picked, "id")
-    criteria = spark.createDataFrame(_CRITERIA, "code string, type string, description string")
-    return prompts.prompts(every, criteria, examples).select("id", F.md5("prompt").alias("prompt"))
+    listed = spark.createDataFrame(_CRITERIA, "code string, type string, description string")
+    return prompts.prompts(every, listed, examples).select("id", F.md5("prompt").alias("prompt"))
 
 
 @query(f"WITH {_P} SELECT id FROM papers WHERE contains(lower(title), 'tion') OR contains(lower(abstract), 'tion')")
@@ -241,3 +242,55 @@ def search_indexed(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_P}, {_D} SELECT id AS Global_ID, title AS Title, '' AS URL, abstract AS Abstract, source_type AS Source_Type, status AS Status, '' AS Rationale, coalesce(code, '') AS Applied_Criteria FROM papers JOIN dec ON id = paper_id")
 def flat_results(spark: SparkSession, d: str) -> DataFrame:
     return export.results(papers(spark, d), decisions(spark, d))
+
+
+_RULES = "SELECT '%' || split_part(text, ' ', 2) || '%' || split_part(text, ' ', 4) || '%' AS pattern, CASE WHEN item_id % 2 = 0 THEN 'YES' ELSE 'NO' END AS verdict, item_id AS place FROM benchmark"
+
+
+@query(f"""WITH {_P}, {_D}, rules AS ({_RULES}), w AS (SELECT id, title FROM papers JOIN dec ON id = paper_id WHERE status = 'NEEDS_REVIEW')
+SELECT id, min(place) AS place, arg_min(verdict, place) AS verdict FROM w JOIN rules ON title ILIKE pattern GROUP BY id""")
+def title_pattern_table(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts of papers that wait, by patterns of two words that ``benchmark``'s texts give."""
+    word = lambda i: F.split_part(F.col("text"), F.lit(" "), F.lit(i))
+    rules = spark.read.parquet(f"{d}/benchmark.parquet").select(F.concat(F.lit("%"), word(2), F.lit("%"), word(4), F.lit("%")).alias("pattern"), F.when(F.col("item_id") % 2 == 0, "YES").otherwise("NO").alias("verdict"), F.col("item_id").alias("place"))
+    waiting = decisions(spark, d).where("status = 'NEEDS_REVIEW'").select(F.col("paper_id").alias("id"))
+    return linking.by_pattern_table(papers(spark, d).join(waiting, "id").select("id", "title"), rules).select("id", "place", "verdict")
+
+
+@query(f"""WITH {_P}, {_LOG_SQL} SELECT id AS paper_id, title, abstract, source_type, CASE status WHEN 'INCLUDED' THEN 'YES' WHEN 'EXCLUDED' THEN 'NO' ELSE 'NEEDS_REVIEW' END AS ai_decision, codes, human_decision
+FROM papers JOIN cur ON id = paper_id WHERE is_calibration ORDER BY id""")
+def calibration_list(spark: SparkSession, d: str) -> DataFrame:
+    return listing.calibration(papers(spark, d), _current(spark, d)).withColumn("codes", F.array_join("codes", ";"))
+
+
+_JSON = "'\"' || replace(replace({0}, '\\', '\\\\'), '\"', '\\\"') || '\"'"
+
+
+@query(f"""WITH {_P}, {_D} SELECT paper_id, CASE WHEN code IS NULL THEN '[]' ELSE '[' || {_JSON.format("code")} || ']' END AS codes_json, '{{"Language": ' || coalesce({_JSON.format("language")}, 'null') || ', "Library": ' || coalesce({_JSON.format("library")}, 'null') || '}}' AS metadata_json
+FROM papers JOIN dec ON id = paper_id""")
+def decision_json(spark: SparkSession, d: str) -> DataFrame:
+    joined = papers(spark, d).select(F.col("id").alias("paper_id"), "metadata").join(decisions(spark, d), "paper_id")
+    return joined.select("paper_id", json_list(F.col("codes")).alias("codes_json"), json_object(F.col("metadata")).alias("metadata_json"))
+
+
+_CRITERIA_SQL = "cr AS (SELECT 'c' || lpad(CAST(item_id AS VARCHAR), 9, '0') AS code, CASE WHEN item_id % 2 = 0 THEN 'IC' ELSE 'EC' END AS type, split_part(text, ' ', 1) AS title, text AS description FROM benchmark)"
+
+
+def _criteria(spark: SparkSession, d: str) -> DataFrame:
+    """The items of ``benchmark`` as criteria; a third of them are changed twice."""
+    i = F.col("item_id")
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.concat(F.lit("c"), F.lpad(i.cast("string"), 9, "0")).alias("code"), F.when(i % 2 == 0, "IC").otherwise("EC").alias("type"), F.split_part(F.col("text"), F.lit(" "), F.lit(1)).alias("title"), F.col("text").alias("description"))
+    change = lambda seq, text: items.where(i % 3 == 0).select(F.lit(seq).alias("seq"), "code", "title", F.lit(text).alias("description"))
+    return criteria.updated(items, change(2, "second text").unionByName(change(1, "first text")))
+
+
+@query(f"WITH {_CRITERIA_SQL} SELECT code, type, title, CASE WHEN CAST(substr(code, 2) AS INTEGER) % 3 = 0 THEN 'second text' ELSE description END AS description FROM cr")
+def criteria_update(spark: SparkSession, d: str) -> DataFrame:
+    return _criteria(spark, d)
+
+
+@query(f"""WITH {_CRITERIA_SQL}, c AS (SELECT code, type, CASE WHEN CAST(substr(code, 2) AS INTEGER) % 3 = 0 THEN 'second text' ELSE description END AS description FROM cr),
+t AS (SELECT string_agg(code || ': ' || description, chr(10) ORDER BY code) FILTER (type = 'IC') AS inclusion, string_agg(code || ': ' || description, chr(10) ORDER BY code) FILTER (type = 'EC') AS exclusion FROM c)
+SELECT md5(inclusion) AS inclusion, md5(exclusion) AS exclusion, md5('Inclusion Criteria (IC):' || chr(10) || inclusion || chr(10) || chr(10) || 'Exclusion Criteria (EC):' || chr(10) || exclusion) AS protocol FROM t""")
+def protocol(spark: SparkSession, d: str) -> DataFrame:
+    return criteria.protocol_text(_criteria(spark, d)).select(*[F.md5(c).alias(c) for c in ("inclusion", "exclusion", "protocol")])
