@@ -9,9 +9,10 @@ from corpusloom.functions.text import json_list, json_object
 from corpusloom.operators import criteria, export, facts, lifecycle, linking, listing, prompts, search_index, store
 from corpusloom.operators import review as R
 from corpusloom.operators import screening as S
-from corpusloom.plans.queries import _D, _KEY, _P, ORDER, query
-from corpusloom.sources.papers import decisions, papers
+from corpusloom.plans.queries import _D, _KEY, _P, ORACLE, ORDER, query
+from corpusloom.sources.papers import decisions, papers, papers_of
 from corpusloom.sources.scratch import fresh_path
+from corpusloom.streaming import screening
 
 #: Fact events from ``labels``: two scorings a paper, the second of every other one; the first line of a text as what was fetched.
 _FACTS = """fe AS (
@@ -125,6 +126,17 @@ def resume_run(spark: SparkSession, d: str) -> DataFrame:
     return S.resumed(papers(spark, d), decisions(spark, d), ORDER, target="WL").select("id", "code")
 
 
+@query(ORACLE["resume_run"])
+def stream_resume(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the stream: decisions lie in its log, and all papers arrive."""
+    path = fresh_path(spark, "stream")
+    store.append(spark, lifecycle._events(decisions(spark, d), 0, "decide", status=F.col("status"), codes=F.col("codes"), confidence=F.lit(1.0)), f"{path}/log")
+    documents = f"{d}/documents.parquet"
+    arriving = papers_of(spark.readStream.schema(spark.read.parquet(documents).schema).option("recursiveFileLookup", True).parquet(documents)).where("source_type = 'WL'")
+    screening.screen_stream(arriving, path, f"{path}/checkpoint", ORDER).awaitTermination()
+    return screening.read_log(spark, path).where("seq > 0").select(F.col("paper_id").alias("id"), F.try_element_at("codes", F.lit(1)).alias("code"))
+
+
 #: A log: every labelled paper decided, a third of them seeded, some audited, a few flagged.
 _LOG_SQL = """cur AS (SELECT CAST(doc_id AS VARCHAR) AS paper_id, doc_id, CASE WHEN quality = 0 THEN 'EXCLUDED' WHEN toxic = 0 THEN 'INCLUDED' ELSE 'NEEDS_REVIEW' END AS status,
   doc_id % 3 = 0 OR doc_id % 7 = 0 AS is_audited, doc_id % 3 = 0 AS is_calibration,

@@ -55,10 +55,13 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return papers_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def papers_of(documents: DataFrame) -> DataFrame:
     """``documents`` as papers: the first line is the title, the rest the abstract."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     cut = F.instr("text", "\n")
-    return d.select(
+    return documents.select(
         F.col("doc_id").alias("ordinal"), F.col("doc_id").cast("string").alias("id"), F.substring_index("text", "\n", 1).alias("title"),
         F.when(cut > 0, F.substring(F.col("text"), cut + 1, F.length("text"))).otherwise("").alias("abstract"),
         F.when(F.substring("source", 4, 9).cast("int") < 14, "WL").otherwise("GL").alias("source_type"),

@@ -10,9 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.operators import screening as S
 from corpusloom.operators import store
+from corpusloom.sources.scratch import discard
+from corpusloom.streaming import keyed
 
-
-TITLE = "id string, title string, at long"
+JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def decide_batch(papers: DataFrame, order: list[str], scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -39,38 +42,54 @@ def events_of(decided: DataFrame, batch: int) -> DataFrame:
     )
 
 
+def _arrivals(papers: DataFrame, order: list[str], whole: bool) -> DataFrame:
+    """Papers as the keyed state takes them: what no rule decides carries the paper, if it is to be scored."""
+    at = F.col("ordinal").cast("long") if "ordinal" in papers.columns else F.xxhash64("id")  # any order that a retry has too
+    rule = S.first_rule(order)
+    paper = F.when(rule.isNull(), F.to_json(F.struct(*papers.columns), JSON | {"ignoreNullFields": "false"})) if whole else F.lit(None).cast("string")
+    return papers.where("id is not null").select(
+        F.col("id").alias("paper_id"), F.lit("paper").alias("kind"), at.alias("at"), F.lit(None).cast("string").alias("status"),
+        keyed.title_digest(F.col("title")).alias("title"), rule.alias("code"), paper.alias("payload"),
+    )
+
+
 def screen_stream(papers: DataFrame, log_path: str, checkpoint: str, order: list[str], scorer: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Decide what arrives. Each batch is written to its own folder and replaced when it is retried, so none counts twice.
 
-    Papers that earlier batches decided for good are skipped, and a title that an earlier batch or paper registered is a
-    duplicate: titles are kept beside the log, by batch.
+    What earlier batches decided is read back from the log as it grows, beside the papers, into the state of ``keyed``: papers
+    decided for good are skipped, those that need review are taken up again, and a title that another paper registered is
+    a duplicate. Events that others append under ``{log_path}/log`` count as well. Batches of one run don't see each other's decisions yet, but
+    the papers and titles taken up: a paper that is sent again before its decision is read back is skipped.
+
+    Papers without an id are left out, as no decision can name them. A batch without papers to decide writes nothing.
     """
+    spark = papers.sparkSession
+    # there before the stream looks for it; a folder that holds events stays as it is
+    spark.createDataFrame([], store.EVENT).write.mode("ignore").parquet(f"{log_path}/log")
+    log = spark.readStream.schema(store.EVENT).option("recursiveFileLookup", True).parquet(f"{log_path}/log")
+    taken = keyed.taken_up(_arrivals(papers, order, scorer is not None).unionByName(keyed.standings(log)))
+    schema = papers.schema
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        seen = lambda kind, schema: spark.read.schema(f"{schema}, batch int").parquet(f"{log_path}/{kind}").where(F.col("batch") < number)
-        place = F.struct(F.lit(number).alias("batch"), F.col("ordinal").alias("at"))
-        if "ordinal" not in batch.columns:  # any order that a retry has too
-            batch = batch.withColumn("ordinal", F.xxhash64("id"))
-        now = batch.dropDuplicates(["id"]).withColumn("ordinal", place)
-        if number:
-            current = store.state(seen("log", store.EVENT)).select("paper_id", "status")
-            titles = seen("titles", TITLE).select(F.struct("batch", F.col("at").alias("at")).alias("ordinal"), "id", "title")
-            earlier = titles.groupBy("id").agg(F.min("ordinal").alias("ordinal"), F.min_by("title", "ordinal").alias("title")).join(now.select("id"), "id", "left_anti")
-            both = now.withColumn("_now", F.lit(True)).unionByName(earlier.withColumn("_now", F.lit(False)), allowMissingColumns=True)
-            taken = S.resumed(both, current, order).where("_now").drop("_now", "status", "is_duplicate")
-        else:
-            none = spark.createDataFrame([], "paper_id string, status string")
-            taken = S.resumed(now, none, order).drop("status", "is_duplicate")
-        now.select("id", "title", F.col("ordinal.at").alias("at")).write.mode("overwrite").parquet(f"{log_path}/titles/batch={number}")
-        decided = decide_batch(taken.withColumn("ordinal", F.col("ordinal.at")), order, scorer)
-        events_of(decided, number).write.mode("overwrite").parquet(f"{log_path}/log/batch={number}")
-
-    return papers.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        spark, path = batch.sparkSession, f"{log_path}/taken/batch={number}"
+        batch.write.mode("overwrite").parquet(path)  # once: each evaluation would go through the state again
+        rows = spark.read.schema(keyed.OUT).parquet(path)
+        if not rows.isEmpty():
+            own = F.from_json("payload", schema, JSON)
+            coded = rows.select(*[(F.col("paper_id") if c == "id" else own[c]).alias(c) for c in schema.names], "code")
+            events_of(decide_batch(coded, order, scorer), number).write.mode("overwrite").parquet(f"{log_path}/log/batch={number}")
+        discard(spark, path)
+
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)  # state beyond the heap; a query keeps what it was started with
+    try:
+        return taken.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(PROVIDER, before)
 
 
 def read_log(spark: SparkSession, log_path: str) -> DataFrame:
-    return spark.read.schema(store.EVENT).parquet(f"{log_path}/log")
+    return spark.read.schema(store.EVENT).option("recursiveFileLookup", True).parquet(f"{log_path}/log")
 
 
 def progress(decisions: DataFrame) -> DataFrame:
