@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.response import parse_answer, parse_quality
-from corpusloom.operators import classifier, linking, runs, sampling, store
+from corpusloom.operators import classifier, counters, linking, runs, sampling, store
 from corpusloom.operators import review as R
 from corpusloom.plans.queries import _D, _P, ORACLE, query
 from corpusloom.sources.papers import decisions, papers
@@ -170,13 +172,13 @@ def _shown(state: DataFrame) -> DataFrame:
 SHARES = (0.0, 0.7, 0.85, 0.95, 0.99, 1.0)
 
 
-def _runs(spark: SparkSession, d: str) -> str:
+def _runs(spark: SparkSession, d: str, add: Callable[[DataFrame, str, int], None] = runs.add) -> str:
     """The log in a store of runs, taken in by batches."""
     log, path = _log(spark, d), fresh_path(spark, "runs")
     least, most = log.agg(F.min("seq"), F.max("seq")).first()
     cuts = [least + int((most - least + 1) * share) for share in SHARES] if least is not None else [0] * len(SHARES)
     for batch, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        runs.add(log.where(F.col("seq").between(a, b - 1)), path, batch)
+        add(log.where(F.col("seq").between(a, b - 1)), path, batch)
     return path
 
 
@@ -193,6 +195,12 @@ def decision_lookup(spark: SparkSession, d: str) -> DataFrame:
     return _shown(runs.decisions_of(spark, _runs(spark, d), ids))
 
 
+@query(f"""SELECT status, codes, human_decision, is_audited, is_calibration, count(*) AS n FROM ({ORACLE["store_state"]}) GROUP BY ALL""")
+def state_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the state, kept by the changes of each batch."""
+    return counters.cells(spark, _runs(spark, d, counters.add))
+
+
 def _columns(sql: str) -> list[str]:
     """The parts of a select list, at commas outside of brackets."""
     out, depth = [""], 0
