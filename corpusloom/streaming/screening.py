@@ -14,8 +14,12 @@ from corpusloom.sources.scratch import discard
 from corpusloom.streaming import keyed
 
 JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State beyond the heap. A batch writes its changes alone, and a partition's files take no space ahead: a store has two a partition.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def decide_batch(papers: DataFrame, order: list[str], scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -80,12 +84,14 @@ def screen_stream(papers: DataFrame, log_path: str, checkpoint: str, order: list
             events_of(decide_batch(coded, order, scorer), number).write.mode("overwrite").parquet(f"{log_path}/log/batch={number}")
         discard(spark, path)
 
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)  # state beyond the heap; a query keeps what it was started with
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():  # a query keeps what it was started with
+        spark.conf.set(name, value)
     try:
         return taken.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def read_log(spark: SparkSession, log_path: str) -> DataFrame:
