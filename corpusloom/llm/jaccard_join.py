@@ -16,9 +16,12 @@ Links are looked for in two steps. First each class against the heads of its ban
 joins nearly all of a group of copies in linear time; then, in tiles that still hold two components,
 all pairs of different components. In both, bitmap signatures of hashed shingles bound the overlap
 from above: a bit that one set has and the other lacks is an element not shared. What remains is
-intersected exactly, as sorted arrays. In the second step a tile is cut into blocks of its largest
-component and of the others; only pairs of blocks with one of the others are compared, so a large
-component is never held against itself.
+intersected exactly, as sorted arrays. The second step begins with rounds in which each row goes to one
+block of its tile, drawn by chance, and only the likeliest pair of each component there is tried: they cost what
+the tiles have rows, and join most of what the heads left apart. Then a tile of more than a block is cut into blocks
+of its largest component and of the others; only pairs of blocks with one of the others are compared, so
+a large component is never held against itself. That last step grows with the rows outside of the largest
+component times all rows of a tile, as no pair may be lost.
 
 Cases: null and empty texts have no shingles and link with nothing, each is its own component.
 Rows are nodes: repeated rows are one class, and rows that share an id but not their text link each
@@ -329,24 +332,39 @@ def _heads_met(members: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "n_a", "bits_a", "b", "n_b", "bits_b").mapInArrow(_filtered(percent), "a long, b long")
 
 
-def _torn(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members with their component's label, and of tiles that hold several components the largest one and both counts of rows; written tables."""
-    labelled = members.select("tile", "n", "doc").join(labels.select(F.col("id").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+def _torn(labelled: DataFrame) -> DataFrame:
+    """Of tiles that hold several components the largest one and both counts of rows; a written table."""
     each = labelled.groupBy("tile", "label").agg(F.count("*").alias("rows"))
     tiles = each.groupBy("tile").agg(F.max_by("label", F.struct("rows", "label")).alias("major"), F.max("rows").alias("top"), F.sum("rows").alias("rows"), F.count("*").alias("several")).where("several > 1")
-    return labelled, cut(tiles.select("tile", "major", "top", "rows"), "torn")
+    return cut(tiles.select("tile", "major", "top", "rows"), "torn")
 
 
-def _in_tiles(labelled: DataFrame, tiles: DataFrame, bits: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Candidate pairs (a, b) in the tiles that hold several components."""
+def _relabelled(labelled: DataFrame, tiles: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the tiles that were torn, with the labels that theirs have been given since; a written table, for ``labelled``, which goes."""
+    rows = labelled.join(tiles.select("tile"), "tile", "left_semi").join(labels.select(F.col("id").alias("label"), F.col("label").alias("_to")), "label", "left")
+    out = cut(rows.select("tile", "n", "doc", F.coalesce("_to", "label").alias("label")), "tiles")
+    discard(labelled)
+    return out
+
+
+def _in_tiles(labelled: DataFrame, tiles: DataFrame, bits: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Candidate pairs (a, b) in the tiles that hold several components.
+
+    In round ``best`` of the likeliest pairs a row goes to one block of its tile, drawn anew each round; with None to all
+    that it must meet, where a tile of PAIR_BLOCK rows is one block.
+    """
     rows = labelled.join(tiles, "tile").join(bits.select(F.col("id").alias("doc"), "bits"), "doc")
-    minors, majors = F.ceil((F.col("rows") - F.col("top")) / PAIR_BLOCK).cast("int"), F.ceil(F.col("top") / PAIR_BLOCK).cast("int")
-    is_major = F.col("label") == F.col("major")
-    block = F.when(is_major, minors + F.pmod(F.xxhash64("doc"), majors)).otherwise(F.pmod(F.xxhash64("doc"), minors)).cast("int")
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_major, minors).otherwise(minors + majors) - 1)))
+    if best is not None:
+        block = F.pmod(F.xxhash64("doc", F.lit(best)), F.ceil(F.col("rows") / PAIR_BLOCK)).cast("int")
+        rows = rows.withColumn("block", block).withColumn("other", F.col("block"))
+    else:
+        minors, majors = F.ceil((F.col("rows") - F.col("top")) / PAIR_BLOCK).cast("int"), F.ceil(F.col("top") / PAIR_BLOCK).cast("int")
+        is_major, one = F.col("label") == F.col("major"), F.col("rows") <= PAIR_BLOCK
+        block = F.when(one, 0).when(is_major, minors + F.pmod(F.xxhash64("doc"), majors)).otherwise(F.pmod(F.xxhash64("doc"), minors)).cast("int")
+        rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(one, 1).when(is_major, minors).otherwise(minors + majors) - 1)))
     dealt = rows.select("tile", F.least("block", "other").alias("t1"), F.greatest("block", "other").alias("t2"), "block", "doc", "label", "n", "bits")
     ordered = dealt.repartition("tile", "t1", "t2").sortWithinPartitions("tile", "t1", "t2", "n", "doc")
-    return ordered.mapInArrow(_tile_pairs(percent, best), "a long, b long").distinct()
+    return ordered.mapInArrow(_tile_pairs(percent, best is not None), "a long, b long").distinct()
 
 
 def _labels(base: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -361,18 +379,24 @@ def _labels(base: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
     links = _verified(seen[0], base, docs, percent)
     labels = components(links)
     discard(links)
-    # then the likeliest pair of each component of a tile for as long as that links many, then all pairs that are left
-    best, rounds = True, 0
+    # members meet their labels once; later rounds go on from the tiles that are still torn
+    labelled = cut(members.select("tile", "n", "doc").join(labels.select(F.col("id").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc")), "tiles")
+    discard(members)
+    # then the likeliest pair of each component of a tile's block for as long as that links many, then all pairs that are left
+    going, rounds = True, 0
     while True:
-        labelled, tiles = _torn(members, labels)
-        left = tiles.agg(F.sum("rows").alias("rows"), F.sum((F.col("rows") - F.col("top")) * F.col("rows")).alias("pairs")).first()
-        if left["rows"] is None:
+        tiles = _torn(labelled)
+        # a tile of one block would give the same pairs again
+        drawn = tiles.where(F.lit(rounds == 0) | (F.col("rows") > PAIR_BLOCK))
+        rows = tiles.agg(F.sum("rows")).first()[0]
+        if rows is None:
             discard(tiles)
             break
-        best = best and rounds < BEST_ROUNDS and left["pairs"] > PER_ROW * left["rows"]
+        left = drawn.agg(F.sum((F.col("rows") - F.col("top")) * F.col("rows"))).first()[0] or 0
+        best = going and rounds < BEST_ROUNDS and left > PER_ROW * rows
         tried = functools.reduce(DataFrame.unionAll, seen)
-        pairs = cut(_in_tiles(labelled, tiles, bits, percent, best).join(tried, ["a", "b"], "left_anti"), "pairs")
-        discard(tiles)
+        found_in = _in_tiles(labelled, drawn if best else tiles, bits, percent, rounds if best else None)
+        pairs = cut(found_in.join(tried, ["a", "b"], "left_anti"), "pairs")
         seen.append(pairs)
         n, found = pairs.count(), 0
         if n:
@@ -380,10 +404,13 @@ def _labels(base: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
             found = links.count()
             labels = extended(labels, links)
             discard(links)
+        if best and found:
+            labelled = _relabelled(labelled, tiles, labels)
+        discard(tiles)
         if not best:
             break
-        best, rounds = n > 0 and MANY * found >= n, rounds + 1
-    discard(members, bits, copies, *seen)
+        going, rounds = n > 0 and MANY * found >= n, rounds + 1
+    discard(labelled, bits, copies, *seen)
     return labels
 
 

@@ -87,6 +87,55 @@ def test_hot_groups_of_near_copies(spark, monkeypatch, small):
     assert [got[i] for i, _ in rows] == [rows[v][0] for v in label]
 
 
+def near_group(copies, links, rnd):
+    """Near copies of one text that their heads leave in several components, of ``links`` families."""
+    base = ["w%d" % i for i in range(200)]
+    rows = []
+    for i in range(copies):
+        w = list(base)
+        for at in rnd.sample(range(i % links, 200, links), 3):
+            w[at] = "v%d" % rnd.randrange(10**6)
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_tiles_of_near_copies_cost_what_they_have_rows(spark, monkeypatch):
+    """Rounds of likeliest pairs deal out a row once, whatever its group's size, and members meet their labels by one join in all rounds."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASS", 2)
+    monkeypatch.setattr(jaccard_join, "PAIR_BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "PER_ROW", 0)
+    pairs, cut, torn = jaccard_join._tile_pairs, jaccard_join.cut, jaccard_join._torn
+    dealt, met, held = spark.sparkContext.accumulator(0), [], []
+
+    def counted(percent, best):
+        run = pairs(percent, best)
+
+        def through(batches):
+            for b in batches:
+                dealt.add(b.num_rows)
+                yield b
+
+        return (lambda batches: run(through(batches))) if best else run
+
+    def plans(df, name):
+        met.extend(re.findall(r"Join LeftOuter, \(doc#\d+L? = doc#", df._jdf.queryExecution().optimizedPlan().toString()))
+        return cut(df, name)
+
+    def members(rows, *labels):
+        held.append(rows.count())
+        return torn(rows, *labels)
+
+    for name, f in (("_tile_pairs", counted), ("cut", plans), ("_torn", members)):
+        monkeypatch.setattr(jaccard_join, name, f)
+    rnd = random.Random(5)
+    rows = near_group(120, 4, rnd) + [(1000 + i, " ".join(["w%d" % j for j in range(150)] + ["u%d" % rnd.randrange(10**6) for _ in range(30)])) for i in range(24)]
+    s, label = linked(rows)
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, DOC)).collect()}
+    assert [got[i] for i, _ in rows] == [rows[v][0] for v in label]
+    assert len(held) > 1 and 0 < dealt.value <= sum(held)
+    assert len(met) == 1
+
+
 @pytest.mark.parametrize("sent", [jaccard_join.MOST_SENT, 0])
 def test_deduplicated_keeps_one_row_of_each_component(spark, odd, monkeypatch, sent):
     monkeypatch.setattr(jaccard_join, "MOST_SENT", sent)
